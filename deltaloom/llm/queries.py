@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaloom.llm import bpe, quality, secrets, simhash, tokens
+from deltaloom.llm import bpe, decontaminate, pii, quality, secrets, simhash, tokens, toxicity, urls, warc
 from deltaloom.llm.common import table
 
 
@@ -27,11 +26,44 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+#: The key of op3's pseudonyms. A production run takes its own from a secret store.
+DEMO_KEY = b"deltaloom public demonstration key"
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize_documents(table(spark, sf_dir, "documents"), DEMO_KEY).withColumnRenamed("id", "doc_id")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return rows.withColumnRenamed("id", "doc_id")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    score = toxicity.scorer(spark, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    rows = docs.select("doc_id", toxicity.held_out().alias("held_out"), score(F.col("text")).alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, rows = warc.archive(table(spark, sf_dir, "pages"), payloads=False)
+    return rows.where("kind <> 'gap'").select(F.col("page").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
+
+
+#: The rules of op8.
+RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), RULES).withColumnRenamed("id", "page_id")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = secrets.find_secrets(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")

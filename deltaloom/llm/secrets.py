@@ -57,17 +57,18 @@ def _matches(text: Column, kind: str) -> Column:
     return out
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str | None = "source", repo_col: str | None = "doc_id") -> DataFrame:
-    """(id, owner, repo, found): found is every candidate as (start, end, kind, hash), kind by its place in
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str | None = "source", repo_col: str | None = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, owner, repo, kept, found): kept has the columns in keep; found is every candidate as (start, end, kind, hash), kind by its place in
     KINDS; opaque strings that touch a base span are left to it."""
     named = lambda c: F.col(c).cast("string") if c else F.lit(None).cast("string")
-    rows = docs.select(F.col(id_col).alias("id"), named(owner_col).alias("owner"), named(repo_col).alias("repo"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("id", "owner", "repo", *(_matches(F.col("text"), k).alias(k) for k in KINDS))
+    kept = F.struct(*keep) if keep else F.struct(F.lit(None).cast("string").alias("none"))
+    rows = docs.select(F.col(id_col).alias("id"), named(owner_col).alias("owner"), named(repo_col).alias("repo"), kept.alias("kept"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = rows.select("id", "owner", "repo", "kept", *(_matches(F.col("text"), k).alias(k) for k in KINDS))
     tag = lambda c, k: F.transform(c, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(k).alias("k"), F.sha2(x["v"], 256).alias("h")))
     base = F.concat(*(tag(F.col(k), i) for i, k in enumerate(PATTERNS)))
-    rows = rows.select("id", "owner", "repo", base.alias("base"), "opaque")
+    rows = rows.select("id", "owner", "repo", "kept", base.alias("base"), "opaque")
     free = F.filter("opaque", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    return rows.select("id", "owner", "repo", F.array_sort(F.concat("base", tag(free, len(PATTERNS)))).alias("found"))
+    return rows.select("id", "owner", "repo", "kept", F.array_sort(F.concat("base", tag(free, len(PATTERNS)))).alias("found"))
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
@@ -80,10 +81,10 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return per.groupBy("h").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str | None = "source", repo_col: str | None = "doc_id", max_owners: int = 2, max_repos: int = 8) -> DataFrame:
-    """(id, spans) for every row: spans is an array of (start, end, kind, live), sorted by start and kind;
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str | None = "source", repo_col: str | None = "doc_id", max_owners: int = 2, max_repos: int = 8, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, spans) for every row, or the columns in keep instead of id: spans is an array of (start, end, kind, live), sorted by start and kind;
     live: at most max_owners owners and max_repos repositories of the whole corpus hold the value."""
-    rows = stash(scan(docs, id_col, text_col, owner_col, repo_col).withColumn("row", F.monotonically_increasing_id()), "scan")
+    rows = stash(scan(docs, id_col, text_col, owner_col, repo_col, keep).withColumn("row", F.monotonically_increasing_id()), "scan")
     each = rows.where(F.size("found") > 0).select("row", "owner", "repo", F.explode("found").alias("c")).select("row", "owner", "repo", "c.*")
     owned = stash(ownership(each), "ownership").select("h", ((F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).alias("live"))
     # Sides that are read from tables: a hash that many rows hold is dealt to many tasks.
@@ -92,8 +93,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans = judged.select("row", F.struct("s", "e", "k", kind.alias("kind"), "live").alias("x")).groupBy("row").agg(F.array_sort(F.collect_list("x")).alias("spans"))
     bare = F.transform(F.col("spans"), lambda x: F.struct(x["s"].alias("start"), x["e"].alias("end"), x["kind"].alias("kind"), x["live"].alias("live")))
     none = F.array().cast("array<struct<start:int,end:int,kind:string,live:boolean>>")
-    empty = rows.where(F.size("found") == 0).select("id", none.alias("spans"))
-    some = rows.where(F.size("found") > 0).select("row", "id").join(spans, "row", "left").select("id", F.coalesce(bare, none).alias("spans"))
+    own = [F.col("kept")[c].alias(c) for c in keep] or [F.col("id")]
+    empty = rows.where(F.size("found") == 0).select(*own, none.alias("spans"))
+    some = rows.where(F.size("found") > 0).select("row", "id", "kept").join(spans, "row", "left").select(*own, F.coalesce(bare, none).alias("spans"))
     return empty.unionByName(some)
 
 

@@ -54,14 +54,15 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed long."""
+    """(id, tag, fp): tag is a hash of the whole text, fp the fingerprint as a signed long."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([fingerprint(x, shingle) for x in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps)], ["id", "tag", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_rows(rows, work, "id long, fp long")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("tag"))
+    return map_rows(rows, work, "id long, tag long, fp long")
 
 
 def bit_statistics(points: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
@@ -254,13 +255,30 @@ def links(points: DataFrame, bound: int = 3, tile: int = 2048) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bound: int = 3, tile: int = 2048) -> DataFrame:
-    """(id, fp, component): component is the least id among all rows reachable over links."""
+    """(id, tag, fp, component, root): component is the least id among all rows reachable over links, root a
+    fingerprint of the component, which tells components apart even where ids repeat."""
     rows = stash(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     points = stash(rows.groupBy("fp").agg(F.min("id").alias("first")), "points")
     roots = connected_components(stash(links(points, bound, tile), "links"))
     linked = points.join(roots, points.fp == roots.node).select("fp", "first", "root")
     linked = stash(linked, "linked")
     least = stash(linked.groupBy("root").agg(F.min("first").alias("component")), "least")
-    named = linked.join(least, "root").select("fp", "component")
-    of = stash(points.join(named, "fp", "left").select("fp", F.coalesce("component", "first").alias("component")), "components")
-    return rows.join(of, "fp").select("id", "fp", "component")
+    named = linked.join(least, "root").select("fp", "component", "root")
+    whole = points.join(named, "fp", "left").select("fp", F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("component")).alias("component"), F.coalesce("root", "fp").alias("root"))
+    return rows.join(stash(whole, "components"), "fp").select("id", "tag", "fp", "component", "root")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of docs, with all its columns, of each component: that of the least id. A row is known again
+    by its id and its text's hash; of rows alike in both, one stays, and only such rows are shuffled for it."""
+    found = near_duplicates(docs, id_col, text_col, **options)
+    key = F.struct(F.col("id").isNull().alias("none"), "id", "tag")
+    copies = found.groupBy("root", "id", "tag").agg(F.count("*").alias("n"))
+    best = copies.groupBy("root").agg(F.min(F.struct(key.alias("key"), "n")).alias("m")).select("m.key.id", "m.key.tag", "m.n")
+    best = stash(best.select(F.col("id").alias("r_id"), F.col("tag").alias("r_tag"), F.col("n").alias("r_n")), "representatives")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("r_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("r_tag"))
+    once = docs.join(best.where("r_n = 1"), same, "left_semi")
+    if best.where("r_n > 1").isEmpty():
+        return once
+    again = docs.join(best.where("r_n > 1"), same, "left_semi").withColumn("r_tag", F.xxhash64(F.col(text_col).cast("string")))
+    return once.unionByName(again.dropDuplicates([id_col, "r_tag"]).drop("r_tag"))
