@@ -9,6 +9,7 @@ microseconds; UUIDs are 16 bytes; JSON is canonical text.
 from __future__ import annotations
 
 import datetime
+import decimal
 import json
 import math
 import re
@@ -82,16 +83,22 @@ def canonical_json(text: str | bytes) -> str:
     def refuse(c: str) -> None:
         raise ValueError(c)
 
-    class Number(float):  # numbers keep their text
-        def __new__(cls, s: str):
-            self = super().__new__(cls, s)
-            self.text = s
-            return self
+    class Number(str):  # numbers keep their text
+        pass
 
-        def __repr__(self) -> str:
-            return self.text
+    def show(x: Any) -> str:
+        if isinstance(x, Number) or not isinstance(x, (str, list, dict)):
+            return x if isinstance(x, Number) else {None: "null", True: "true", False: "false"}[x]
+        if isinstance(x, list):
+            return "[" + ",".join(map(show, x)) + "]"
+        if isinstance(x, dict):
+            return "{" + ",".join(f"{show(k)}:{show(v)}" for k, v in x.items()) + "}"
+        out = json.dumps(x, ensure_ascii=False)
+        for c in "<>&\u2028\u2029":
+            out = out.replace(c, f"\\u{ord(c):04x}")
+        return out
 
-    return json.dumps(json.loads(text, object_pairs_hook=once, parse_constant=refuse, parse_float=Number), separators=(",", ":"), ensure_ascii=False)
+    return show(json.loads(text, object_pairs_hook=once, parse_constant=refuse, parse_float=Number, parse_int=Number))
 
 
 def check(value: Any, kind: Kind, nullable: bool = False) -> Any:
@@ -273,6 +280,16 @@ def _fail(e: Exception):
     raise e
 
 
+def to_spark(value: Any, kind: Kind) -> Any:
+    """A stored value as createDataFrame takes it."""
+    return decimal.Decimal(value) if value is not None and kind.spark.startswith("decimal") else value
+
+
+def from_spark(value: Any) -> Any:
+    """A collected value as it is stored."""
+    return bytes(value) if isinstance(value, bytearray) else int(value) if isinstance(value, decimal.Decimal) else value
+
+
 def column_of(value: Any, kind: Kind) -> Column:
     """A typed constant."""
     if value is None:

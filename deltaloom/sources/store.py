@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from deltaloom.functions.kinds import check, column_of
+from deltaloom.functions.kinds import check, column_of, from_spark, to_spark
 from deltaloom.operators import live
 from deltaloom.plans.errors import ConstraintError, KindError
 from deltaloom.plans.schema import Catalog, SchemaError, TableDef, incompatible
@@ -96,7 +96,7 @@ class Store:
         for tx, name in sorted(manifests):
             try:
                 self.log[tx] = json.loads(self.files.read(f"log/{name}"))
-            except ValueError:
+            except Exception:  # noqa: BLE001  unreadable, or no JSON
                 if tx == manifests[-1][0]:  # a torn tail was never acknowledged
                     break
                 raise RuntimeError(f"log/{name} is damaged") from None
@@ -161,7 +161,7 @@ class Store:
 
     def row(self, name: str, rid: int) -> dict | None:
         got = self.rows(name).where(F.col("_rid") == rid).drop("_rid").take(1)
-        return got[0].asDict() if got else None
+        return _stored(got[0].asDict()) if got else None
 
     def count(self, name: str) -> int:
         return self.rows(name).count()
@@ -186,7 +186,7 @@ class Store:
                 tx.revalidate()
             number, tables = self.version + 1, {}
             for name in sorted(tx.staged):
-                rows = [(*(r[c.name] for c in self.catalog.tables[name].columns), rid, number, w) for w, bag in ((1, tx.staged[name].inserted), (-1, tx.staged[name].deleted)) for rid, r in sorted(bag.items())]
+                rows = [(*_values(self.catalog.tables[name], r), rid, number, w) for w, bag in ((1, tx.staged[name].inserted), (-1, tx.staged[name].deleted)) for rid, r in sorted(bag.items())]
                 frames = [self.spark.createDataFrame(rows, self._schema(self.catalog.tables[name]))] if rows else []
                 frames += [df.withColumns({"_tx": F.lit(number).cast("long"), "_w": F.lit(1)}) for df in tx.staged[name].bulk]
                 if not frames:
@@ -270,7 +270,7 @@ class Transaction:
             out = out.where(~F.col("_rid").isin(*staged.deleted))
         if staged.inserted:
             schema = T.StructType([*table.spark_schema.fields, T.StructField("_rid", T.LongType())])
-            out = out.unionByName(self.store.spark.createDataFrame([(*(r[c.name] for c in table.columns), k) for k, r in staged.inserted.items()], schema))
+            out = out.unionByName(self.store.spark.createDataFrame([(*_values(table, r), k) for k, r in staged.inserted.items()], schema))
         for b in staged.bulk:
             out = out.unionByName(b.select(*out.columns))
         return out
@@ -359,7 +359,7 @@ class Transaction:
         numbered = self._numbered(cast, self.rids.get(name, 0))
         count = numbered.agg(F.max("_rid")).first()[0] or self.rids.get(name, 0)
         if zero is not None:
-            start = max(self.counters.get(name, 0), numbered.agg(F.max(zero.name)).first()[0] or 0)
+            start = max(self.counters.get(name, 0), int(numbered.agg(F.max(zero.name)).first()[0] or 0))
             base = self.rids.get(name, 0)
             value = F.when(F.coalesce(F.col(zero.name), F.lit(0)) == 0, F.lit(int(start)) + F.col("_rid") - base).otherwise(F.col(zero.name))
             numbered = numbered.withColumn(zero.name, value.cast(zero.kind.spark))
@@ -438,7 +438,11 @@ class Transaction:
 
 
 def _stored(row: dict) -> dict:
-    return {k: bytes(v) if isinstance(v, bytearray) else int(v) if type(v).__name__ == "Decimal" else v for k, v in row.items()}
+    return {k: from_spark(v) for k, v in row.items()}
+
+
+def _values(table: TableDef, row: dict) -> tuple:
+    return tuple(to_spark(row[c.name], c.kind) for c in table.columns)
 
 
 def _matches(table: TableDef, key: dict[str, Any]):
