@@ -143,12 +143,17 @@ def _window(plan: Plan, histories: Histories, since: int) -> DataFrame:
     touched one before it."""
     rows = intervals(replace(plan, order=(), limit=None, offset=None), histories)
     keys = lower.order_keys(plan)
-    ends = signed(rows)
-    touched = ends.select("_tx").distinct()
+    # The transactions that touched the rows, numbered; a row's life is a range of numbers, as it begins and
+    # ends at such transactions. Equal joins give the range, and the rows are spread over it.
+    touched = signed(rows).select("_tx").distinct()
     step = Window.orderBy("_tx")
-    steps = touched.select("_tx", F.lead("_tx").over(step).alias("next"))
-    # Rows live at each touched transaction: an interval join of rows with transactions.
-    live = rows.join(steps, (rows["_from"] <= steps["_tx"]) & (steps["_tx"] < rows["_to"]))
+    steps = touched.select("_tx", F.row_number().over(step).alias("i"), F.lead("_tx").over(step).alias("next"))
+    begin = steps.select(F.col("_tx").alias("_from"), F.col("i").alias("i_from"))
+    stop = steps.select(F.col("_tx").alias("_to"), F.col("i").alias("i_to"))
+    count = touched.agg((F.count("*") + 1).alias("i_end"))
+    spans = rows.join(begin, "_from").join(stop, "_to", "left").crossJoin(F.broadcast(count))  # one row
+    spread = F.explode(F.sequence(F.col("i_from"), F.coalesce("i_to", "i_end") - 1))
+    live = spans.withColumn("i", spread).join(steps, "i")
     lo = plan.offset or 0
     rank = F.row_number().over(Window.partitionBy("_tx").orderBy(*keys))
     inside = F.col("_rank") > lo
