@@ -86,4 +86,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only op6 is within SQL's reach; the others are held against brute force in tests."""
+    rows = "SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages"
+    first = "SELECT d, min(page_id) AS m FROM rows WHERE n >= 100 GROUP BY d"
+    again = "m IS NOT NULL AND page_id IS DISTINCT FROM m"
+    return {
+        "op6_warc": f"WITH rows AS ({rows}), firsts AS ({first}) SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, rows.d AS payload_digest, CASE WHEN {again} THEN 'revisit' ELSE 'response' END AS record_type, "
+        f"CASE WHEN {again} THEN m END AS refers_to FROM rows LEFT JOIN firsts ON rows.d = firsts.d AND n >= 100"
+    }
