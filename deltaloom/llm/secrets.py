@@ -58,13 +58,13 @@ def _matches(text: Column, kind: str) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str | None = "source", repo_col: str | None = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, owner, repo, kept, found): kept has the columns in keep; found is every candidate as (start, end, kind, hash), kind by its place in
+    """(id, owner, repo, kept, found): kept has the columns in keep; found is every candidate as (start, kind, end, hash), kind by its place in
     KINDS; opaque strings that touch a base span are left to it."""
     named = lambda c: F.col(c).cast("string") if c else F.lit(None).cast("string")
     kept = F.struct(*keep) if keep else F.struct(F.lit(None).cast("string").alias("none"))
     rows = docs.select(F.col(id_col).alias("id"), named(owner_col).alias("owner"), named(repo_col).alias("repo"), kept.alias("kept"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("id", "owner", "repo", "kept", *(_matches(F.col("text"), k).alias(k) for k in KINDS))
-    tag = lambda c, k: F.transform(c, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(k).alias("k"), F.sha2(x["v"], 256).alias("h")))
+    tag = lambda c, k: F.transform(c, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), F.sha2(x["v"], 256).alias("h")))
     base = F.concat(*(tag(F.col(k), i) for i, k in enumerate(PATTERNS)))
     rows = rows.select("id", "owner", "repo", "kept", base.alias("base"), "opaque")
     free = F.filter("opaque", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
@@ -90,7 +90,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Sides that are read from tables: a hash that many rows hold is dealt to many tasks.
     judged = each.join(owned, "h").where((F.col("k") < len(PATTERNS)) | F.col("live"))
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("k") + 1)
-    spans = judged.select("row", F.struct("s", "e", "k", kind.alias("kind"), "live").alias("x")).groupBy("row").agg(F.array_sort(F.collect_list("x")).alias("spans"))
+    spans = judged.select("row", F.struct("s", "k", "e", kind.alias("kind"), "live").alias("x")).groupBy("row").agg(F.array_sort(F.collect_list("x")).alias("spans"))
     bare = F.transform(F.col("spans"), lambda x: F.struct(x["s"].alias("start"), x["e"].alias("end"), x["kind"].alias("kind"), x["live"].alias("live")))
     none = F.array().cast("array<struct<start:int,end:int,kind:string,live:boolean>>")
     own = [F.col("kept")[c].alias(c) for c in keep] or [F.col("id")]
