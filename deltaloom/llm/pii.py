@@ -73,7 +73,7 @@ def _refill(shape: str, chars: str) -> str:
 def _card(text: str, key: bytes, back: bool) -> str | None:
     """The leading digit, which tells the network, and the length stay; the check digit is computed."""
     digits = "".join(c for c in text if c.isdigit())
-    if not 13 <= len(digits) <= 19 or digits[0] not in "3456" or not luhn(digits) or len(set(digits)) == 1:
+    if not 13 <= len(digits) <= 19 or not luhn(digits) or len(set(digits)) == 1:
         return None
     inner = len(digits) - 2
     body = permute(int(digits[1:-1]), 10**inner, key, f"card{digits[0]}", back)
@@ -108,14 +108,23 @@ def _digits_in(body: str, sizes: list[int], key: bytes, tag: str, back: bool) ->
 
 
 def _phone(text: str, key: bytes, back: bool) -> str | None:
-    """Area code [2-9]dd, exchange [2-9]dd, four digits; a country code stays."""
+    """Area code [2-9]dd, exchange [2-9]dd, four digits; other digits are a number only after a country code,
+    which stays, and are permuted among themselves."""
     digits = "".join(c for c in text if c.isdigit())
     own = digits[-10:]
-    if len(digits) not in (10, 11) or len(digits) == 11 and digits[0] != "1" or own[0] in "01" or own[3] in "01":
+    if len(digits) not in (10, 11) or len(digits) == 11 and digits[0] != "1":
         return None
-    value = ((int(own[0]) - 2) * 100 + int(own[1:3])) * 8_000_000 + (int(own[3]) - 2) * 1_000_000 + int(own[4:])
-    a, b = divmod(permute(value, 800 * 8_000_000, key, "phone", back), 8_000_000)
-    return _refill(text, f"{digits[:-10]}{a + 200}{b + 2_000_000}")
+    planned = lambda d: d[0] not in "01" and d[3] not in "01"
+    if planned(own):
+        value = ((int(own[0]) - 2) * 100 + int(own[1:3])) * 8_000_000 + (int(own[3]) - 2) * 1_000_000 + int(own[4:])
+        a, b = divmod(permute(value, 800 * 8_000_000, key, "phone", back), 8_000_000)
+        return _refill(text, f"{digits[:-10]}{a + 200}{b + 2_000_000}")
+    if not text.startswith("+"):
+        return None
+    while True:
+        own = f"{permute(int(own), 10**10, key, 'phone-other', back):010d}"
+        if not planned(own):
+            return _refill(text, digits[:-10] + own)
 
 
 def _ssn(text: str, key: bytes, back: bool) -> str | None:
