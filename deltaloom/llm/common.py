@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
@@ -30,19 +31,40 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/deltaloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+_WRITTEN: list[str] = []
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again. What depends on it starts from files
     that outlive any executor, so a lost one never repeats the work above."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes the tables that stash() wrote in this application."""
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/deltaloom-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes every table that stash() wrote in this application. What reads them must be done."""
+    _delete(spark, _WRITTEN)
+    _WRITTEN.clear()
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that stash() writes in its block, at its end."""
+    before = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        _delete(spark, _WRITTEN[before:])
+        del _WRITTEN[before:]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -19,6 +19,7 @@ has another id; an empty table gives an empty result; other columns, whatever th
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -275,10 +276,13 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key = F.struct(F.col("id").isNull().alias("none"), "id", "tag")
     copies = found.groupBy("root", "id", "tag").agg(F.count("*").alias("n"))
     best = copies.groupBy("root").agg(F.min(F.struct(key.alias("key"), "n")).alias("m")).select("m.key.id", "m.key.tag", "m.n")
-    best = stash(best.select(F.col("id").alias("r_id"), F.col("tag").alias("r_tag"), F.col("n").alias("r_n")), "representatives")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("r_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("r_tag"))
-    once = docs.join(best.where("r_n = 1"), same, "left_semi")
-    if best.where("r_n > 1").isEmpty():
+    mine = {c: f"{c}_{uuid.uuid4().hex}" for c in ("id", "tag", "n")}  # no column of docs has such a name
+    best = stash(best.toDF(*mine.values()), "representatives")
+    tag = F.xxhash64(F.col(text_col).cast("string"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(mine["id"])) & (tag == F.col(mine["tag"]))
+    once = docs.join(best.where(F.col(mine["n"]) == 1), same, "left_semi")
+    often = best.where(F.col(mine["n"]) > 1)
+    if often.isEmpty():
         return once
-    again = docs.join(best.where("r_n > 1"), same, "left_semi").withColumn("r_tag", F.xxhash64(F.col(text_col).cast("string")))
-    return once.unionByName(again.dropDuplicates([id_col, "r_tag"]).drop("r_tag"))
+    again = docs.join(often, same, "left_semi").withColumn(mine["tag"], tag)
+    return once.unionByName(again.dropDuplicates([id_col, mine["tag"]]).drop(mine["tag"]))

@@ -309,6 +309,8 @@ def test_one_row_of_each_group_stays(spark):
     docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
     assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted([(4, long), (4, "other text"), (None, "no id, no copies"), (8, "")], key=repr)
+    clash = simhash.representatives(docs.withColumnsRenamed({"lang": "r_id", "source": "root", "n_chars": "tag"}))
+    assert clash.count() == len(got) and clash.columns == ["doc_id", "text", "r_id", "root", "tag"]
     empty = docs.where("false")
     assert corpus_pipeline.drop_near_copies(spark, empty, "").collect() == [] and corpus_pipeline.mask_secrets(spark, empty, "").collect() == []
 
