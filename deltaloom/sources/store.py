@@ -62,6 +62,19 @@ class Files:
         self.fs.delete(self._path(name), True)
 
 
+def copy_folder(spark: SparkSession, source: str, target: str) -> None:
+    """The parts of a store, on any two Hadoop file systems."""
+    old, new = Files(spark, source), Files(spark, target)
+    if new.names(""):
+        raise FileExistsError(target)
+    if not old.exists("contract.json"):
+        raise FileNotFoundError(f"{source} is no store")
+    for part in ("data", "snapshots", "contract.json", "log"):
+        if old.exists(part):
+            new.fs.mkdirs(new._path(""))
+            old.jvm.org.apache.hadoop.fs.FileUtil.copy(old.fs, old._path(part), new.fs, new._path(part), False, old.conf)
+
+
 class Store:
     """A folder of tables. `version` is the last committed transaction."""
 
@@ -219,6 +232,18 @@ class Store:
             self.snapshots.append((self.version, path))
             return path
 
+    def backup(self, target: str) -> None:
+        """Copies all that is published to a folder that must not be there yet; the log goes last, so the copy
+        never names files it lacks."""
+        with self.lock:
+            copy_folder(self.spark, self.root, target)
+
+    @classmethod
+    def restore(cls, spark: SparkSession, source: str, root: str, catalog: Catalog) -> Store:
+        """A store in a new folder from a backup."""
+        copy_folder(spark, source, root)
+        return cls(spark, root, catalog)
+
     def compact(self) -> int:
         """Deletes log entries that the newest snapshot covers; their number."""
         base = max((t for t, _ in self.snapshots), default=0)

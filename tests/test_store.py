@@ -108,6 +108,10 @@ def test_recovery_snapshots_and_compaction(store, spark, tmp_path):
     want = [(2, "n1", 1), (3, "n2", 2), (4, "n3", 3)]
     assert again.version == 4 and bag(again.table("players")) == bag(store.table("players")) and [(int(a), b, c) for a, b, c in bag(again.table("players"))] == want
     assert again.table("players", 3).count() == 2
+    again.backup(str(tmp_path / "copy"))
+    with pytest.raises(FileExistsError):
+        again.backup(str(tmp_path / "copy"))
+    assert bag(Store.restore(spark, str(tmp_path / "copy"), str(tmp_path / "new"), Catalog.of(PLAYERS, PAIRS, NOTES)).table("players")) == bag(again.table("players"))
     tx = again.begin()
     assert tx.row("players", tx.insert("players", {"id": 0, "name": "new", "team": None}))["id"] == 5
     log = tmp_path / "log"
