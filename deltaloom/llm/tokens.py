@@ -23,7 +23,8 @@ import os
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from deltaloom.llm.bpe import byte_characters
 from deltaloom.llm.common import new_path, stash
 
 MAGIC = b"WMTX0001"
@@ -58,9 +60,8 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, levels: int) -> WaveletMatrix:
         planes, now = [], ids
         for level in range(levels - 1, -1, -1):
-            bit = (now >> level) & 1
-            planes.append(np.packbits(bit.astype(np.uint8)))
-            chosen = bit.astype(bool)
+            chosen = (now & now.dtype.type(1 << level)) != 0
+            planes.append(np.packbits(chosen))
             now = np.concatenate([now[~chosen], now[chosen]])
         return cls(planes, len(ids))
 
@@ -171,16 +172,31 @@ def read_file(path: str) -> bytes:
         return f.read()
 
 
-#: Cuts a text where no token of a byte-level vocabulary can cross: words with the space before them, and
-#: runs of white space as byte-level patterns take them.
-PIECES = regex.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: Where these are in a text, white space stands before a space, or may: such texts are cut by WORDS alone.
+RUNS = ("  ", "\n ", "\t ", "\r ", "\v ", "\f ")
+WIDE_SPACES = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The split pattern of byte-level vocabularies, which public_tokenizers.PATTERN states too.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
+class Memory(dict):
+    """Keeps what it was asked first, up to a number of keys; what it does not have is made anew each time."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key: str) -> bytes:
+        out = self.make(key)
+        if len(self) < self.most:
+            self[key] = out
+        return out
+
+
 class LibraryEncoder:
-    """The tokenizers library with a memory of pieces. Pieces and words it has not seen go to the library in
-    one batch; what a piece encodes to depends on nothing around it."""
+    """The tokenizers library with memories of pieces of text, which go to the library's model when they are
+    new; what a piece encodes to depends on nothing around it. Pieces are remembered without the space before
+    them, which all but a text's first have."""
 
     def __init__(self, path: str, remembered: int = 1_000_000):
         from tokenizers import Tokenizer
@@ -188,44 +204,40 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
         spec = json.loads(open(path, encoding="utf-8").read())
         pre = spec.get("pre_tokenizer") or {}
         self.apart = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer")
         self.specials = [t["content"] for t in spec["added_tokens"]]
-        self.remembered = remembered
-        self.memo: dict[str, bytes] = {"": b""}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        out: list[bytes | None] = [None] * len(texts)
-        cut: list[list[str]] = []
-        for k, text in enumerate(texts):
-            if not self.apart or any(s in text for s in self.specials):
-                out[k] = self._library([text])[0]
-                cut.append([])
-            elif any(p in text for p in ("  ", "\n ", "\t ", "\r ", "\v ", "\f ", "\x85 ", "\xa0 ", "\x1c", "\x1d", "\x1e", "\x1f")) or not text.isascii() and regex.search(r"[  -     　]", text):
-                cut.append(PIECES.findall(text))
-            else:  # no white space before a space: cutting there is the same
-                first, *rest = text.split(" ")
-                cut.append([first, *[" " + s for s in rest]])
-        memo = self.memo
-        new = {s for c in cut for s in c if s not in memo}
-        if new:
-            odd = {s: WORDS.findall(s) for s in new if not (s[1:].isalpha() and (s[0] == " " or s[0].isalpha()))}
-            words = list((new - odd.keys()) | {w for p in odd.values() for w in p if w not in memo})
-            fresh = dict(zip(words, self._library(words), strict=True)) if words else {}
-            fresh |= {s: b"".join([fresh.get(w) or memo[w] for w in p]) for s, p in odd.items()}
-            memo.update(fresh)
-        for k, c in enumerate(cut):
-            if out[k] is None:
-                out[k] = b"".join(map(memo.__getitem__, c))
-        if new and len(memo) > self.remembered:  # the first ones stay
-            for s in fresh:
-                del memo[s]
-        return out  # type: ignore[return-value]
+        self.spaced = Memory(self._spaced, remembered)  # piece -> ids of a space and the piece
+        self.words = Memory(self._word, remembered // 4)
+        self.byte_chars = byte_characters()
+
+    def _library(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """One word of WORDS by the library's model, in the characters that stand for its bytes."""
+        if word.isascii() and word.isprintable():
+            word = word.replace(" ", "\u0120")
+        else:
+            word = "".join([self.byte_chars[b] for b in word.encode("utf-8", "surrogatepass")])
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def _spaced(self, piece: str) -> bytes:
+        return self._word(" " + piece) if piece.isalpha() else self._pieces(" " + piece)
+
+    def _pieces(self, text: str) -> bytes:
+        return b"".join([self.spaced[w[1:]] if w[0] == " " and w[1:].isalpha() else self.words[w] for w in WORDS.findall(text)])
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit integers."""
+        if not self.apart or any(s in text for s in self.specials):
+            return self._library(text)
+        if any(p in text for p in RUNS) or not text.isascii() and any(c in text for c in WIDE_SPACES):
+            return self._pieces(text)  # white space before a space: cutting at spaces would not be the same
+        first, *rest = text.split(" ")
+        return self._pieces(first) + b"".join(map(self.spaced.__getitem__, rest))
 
 
 @functools.lru_cache(maxsize=2)
@@ -262,16 +274,14 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int, id_col: s
             shard, size = shard + 1, 0
             return row
 
+        encode = library_encoder(path).encode
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                encoded = library_encoder(path).encode([t or "" for t in some.column(1).to_pylist()])
-                for d, ids in zip(some.column(0).to_pylist(), encoded, strict=True):
-                    doc_ids.append(d)
-                    held.append(ids + end)
-                    size += len(ids) // 4 + 1
-                    if size >= shard_tokens:
-                        yield flush()
+            for d, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held.append(encode(text.as_py() or "") + end)
+                doc_ids.append(d)
+                size += len(held[-1]) // 4
+                if size >= shard_tokens:
+                    yield flush()
         if held:
             yield flush()
 
