@@ -7,7 +7,7 @@ no token fits, the last one is taken back and the place is marked, so that no pl
 same token. The outcome is what applying the merges in their order gives, in time linear in the word.
 
 A text is cut at white space; what a piece between white space encodes to depends on nothing around it, so
-each worker keeps the results of the first `remembered` different pieces and words it has seen.
+each worker keeps the results of the first `remembered` different pieces, and as many words, that it has seen.
 Decoding looks tokens up in one blob of bytes by a table of offsets.
 
 Supports tokenizer files with byte-level BPE: an optional normalizer of NFC, white space and lower case
@@ -52,7 +52,7 @@ def byte_characters() -> list[str]:
 class Encoder:
     """The tables of one tokenizer file. piece(s) gives the ids of a piece of text without white space."""
 
-    def __init__(self, path: str, remembered: int = 300_000):
+    def __init__(self, path: str, remembered: int = 200_000):
         spec = json.loads(open(path, encoding="utf-8").read())
         model = spec["model"]
         self.suffix = model.get("end_of_word_suffix") or ""
@@ -125,7 +125,7 @@ class Encoder:
                 limit, left = 2 * l, self.halves[left][1]
             else:
                 limit, right = 2 * r + 1, self.halves[right][0]
-        if len(self.pairs) < 2_000_000:
+        if len(self.pairs) < 500_000:
             self.pairs[a, b] = ok
         return ok
 
@@ -210,7 +210,7 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(path: str, remembered: int = 300_000) -> Encoder:
+def encoder(path: str, remembered: int = 200_000) -> Encoder:
     """One encoder per worker process; its tables and memory live on from task to task."""
     return Encoder(path, remembered)
 

@@ -72,13 +72,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def map_rows(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
-    """mapInArrow with a function of one batch. An empty partition gives no rows."""
+def map_rows(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType, most: int = 1024) -> DataFrame:
+    """mapInArrow with a function of one batch of at most `most` rows, which bounds what a worker holds of
+    long texts and their results. An empty partition gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := work(batch)) is not None and out.num_rows:
-                yield out
+            for at in range(0, batch.num_rows, most):
+                if (out := work(batch.slice(at, most))) is not None and out.num_rows:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

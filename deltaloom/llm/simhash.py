@@ -77,7 +77,7 @@ def bit_statistics(points: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
 
     total = points.count()
     both = np.zeros((BITS, BITS))
-    for i, j, n in map_rows(points.select("fp"), work, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n")).collect():  # at most 2080 rows
+    for i, j, n in map_rows(points.select("fp"), work, "i int, j int, n long", 1 << 20).groupBy("i", "j").agg(F.sum("n")).collect():  # at most 2080 rows
         both[i, j] = both[j, i] = n
     if not total:
         return 0, np.full(BITS, 0.5), np.zeros((BITS, BITS))
@@ -142,7 +142,7 @@ def _keys(points: DataFrame, layout: list[list[int]], radius: list[int]) -> Data
                     col.append(x)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["part", "key", "fp", "role"])
 
-    return map_rows(points.select("fp"), work, "part int, key long, fp long, role int")
+    return map_rows(points.select("fp"), work, "part int, key long, fp long, role int", 1 << 16)
 
 
 def plan_probes(points: DataFrame, bound: int) -> tuple[list[list[int]], list[int]]:

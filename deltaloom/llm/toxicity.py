@@ -32,7 +32,7 @@ from deltaloom.llm.common import map_rows, stash
 WORD = regex.compile(r"\w+")
 #: Lengths of the beginnings that count as terms of longer words.
 HEADS = (3, 4, 5, 6)
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 def hashed(piece: str, buckets: int) -> list[int]:
