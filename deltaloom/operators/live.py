@@ -14,6 +14,7 @@ transaction that touched the view, after partial sums.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from deltaloom.operators import lower
-from deltaloom.plans.analyzer import All, Plan, Test
+from deltaloom.plans.analyzer import All, Any_, Col, Edge, NullTest, Plan, Test
 
 #: The end of rows that are still there.
 END = (1 << 63) - 1
@@ -41,22 +42,43 @@ def history(changes: DataFrame, columns: list[str], event: bool = False) -> Data
 Histories = Callable[[str], DataFrame]
 
 
+def _named(e: object) -> list[Col]:
+    """The columns of a predicate."""
+    if isinstance(e, (All, Any_)):
+        return [c for t in e.terms for c in _named(t)]
+    if isinstance(e, Edge):
+        return [e.left, e.right]
+    return [e.column] if isinstance(e, (Test, NullTest)) else []
+
+
 def intervals(plan: Plan, histories: Histories) -> DataFrame:
-    """Joined rows with _from and _to of the whole, and _event: whether an event's row takes part."""
-    rows = lower.joined(plan, histories, ("_from", "_to"))
+    """Joined rows with _from and _to of the whole, _m: how often, and _event: whether an event's row takes part.
+    Of a joined relation that shows no column, rows alike in what the joins and tests read are one row before
+    the join, so a hot key costs its different intervals, not its rows."""
     n = range(len(plan.relations))
     many = len(plan.relations) > 1
+    shown = {c.relation for c, _ in plan.output} | ({plan.aggregate.column.relation} if plan.aggregate and plan.aggregate.column else set())
+    read = [c for e in (plan.where, *(e for e in plan.edges if e)) for c in _named(e)]
+
+    def fold(rows: DataFrame, at: int) -> DataFrame:
+        if not many or at in shown:
+            return rows.withColumn(f"r{at}_m", F.lit(1).cast("long"))
+        names = dict.fromkeys(lower.name_of(c) for c in read if c.relation == at)
+        return rows.groupBy(*(F.col(f"`{c}`") for c in names), f"r{at}_from", f"r{at}_to").agg(F.count("*").alias(f"r{at}_m"))
+
+    rows = lower.joined(plan, histories, ("_from", "_to"), fold)
+    often = functools.reduce(lambda a, b: a * b, (F.col(f"r{i}_m") for i in n))
     start = F.greatest(*(F.col(f"r{i}_from") for i in n)) if many else F.col("r0_from")
     stop = F.least(*(F.col(f"r{i}_to") for i in n)) if many else F.col("r0_to")
     event = F.lit(any(t.event for t in plan.relations))
-    return rows.withColumns({"_from": start, "_to": stop, "_event": event}).where("_from < _to")
+    return rows.withColumns({"_from": start, "_to": stop, "_m": often, "_event": event}).where("_from < _to")
 
 
 def signed(rows: DataFrame) -> DataFrame:
     """The ends of intervals as signed rows (_tx, _w)."""
     ends = F.array(
-        F.struct(F.col("_from").alias("tx"), F.lit(1).cast("long").alias("w")),
-        F.struct(F.when((F.col("_to") < END) & ~F.col("_event"), F.col("_to")).alias("tx"), F.lit(-1).cast("long").alias("w")),
+        F.struct(F.col("_from").alias("tx"), F.col("_m").alias("w")),
+        F.struct(F.when((F.col("_to") < END) & ~F.col("_event"), F.col("_to")).alias("tx"), (-F.col("_m")).alias("w")),
     )
     return rows.withColumn("_end", F.explode(ends)).where("_end.tx is not null").withColumns({"_tx": F.col("_end.tx"), "_w": F.col("_end.w")}).drop("_end")
 

@@ -71,13 +71,14 @@ def comparison(t: Test) -> Column:
     return out | c.isNull() if t.op[0] == "<" else c.isNotNull() & out
 
 
-def joined(plan: Plan, sources: Callable[[str], DataFrame], keep: tuple[str, ...] = ()) -> DataFrame:
-    """All relations joined and filtered, with every column. Equalities of WHERE count as join conditions
-    where nothing else links a relation, so no product is made where the statement has an equality."""
+def joined(plan: Plan, sources: Callable[[str], DataFrame], keep: tuple[str, ...] = (), shape: Callable[[DataFrame, int], DataFrame] = lambda rows, at: rows) -> DataFrame:
+    """All relations joined and filtered, with every column, each relation as shape() returns it. Equalities of
+    WHERE count as join conditions where nothing else links a relation, so no product is made where the
+    statement has an equality."""
     terms = list(plan.where.terms) if isinstance(plan.where, All) else [plan.where]
-    out = relation(sources(plan.relations[0].name), plan, 0, keep)
+    out = shape(relation(sources(plan.relations[0].name), plan, 0, keep), 0)
     for at in range(1, len(plan.relations)):
-        right = relation(sources(plan.relations[at].name), plan, at, keep)
+        right = shape(relation(sources(plan.relations[at].name), plan, at, keep), at)
         links = [plan.edges[at - 1]] if plan.edges[at - 1] else []
         links += [t for t in terms if isinstance(t, Edge) and max(t.left.relation, t.right.relation) == at and t.left.relation != t.right.relation]
         terms = [t for t in terms if t not in links]

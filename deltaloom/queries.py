@@ -43,12 +43,12 @@ DERIVED = {
     "orders_n": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey END AS o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 50 END AS o_units, o_totalprice FROM orders",
     "customer_n": "SELECT CASE WHEN c_custkey % 300 = 0 THEN NULL ELSE c_custkey END AS c_custkey, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_name END AS c_name, c_nationkey FROM customer",
 }
-#: Histories: columns, first transaction, and the one that ends the row (null: none).
+#: Histories of whole tables: columns, first transaction, and the one that ends the row (null: none).
 HISTORIES = {
-    "ev": ("SELECT event_id, user_id % 40 AS user_id, event_type, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id % 100 END AS amount, event_id % 16 + 1 AS f, CASE WHEN event_id % 5 = 0 THEN 17 + event_id % 4 END AS t FROM events WHERE event_id % 3 = 0"),
-    "usr": ("SELECT c_custkey % 100000 AS c_custkey, c_nationkey, c_custkey % 8 + 1 AS f, CASE WHEN c_custkey % 9 = 0 THEN 18 END AS t FROM customer WHERE c_custkey < 60"),
+    "ev": ("SELECT event_id, user_id, event_type, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id % 100 END AS amount, event_id % 16 + 1 AS f, CASE WHEN event_id % 5 = 0 THEN 17 + event_id % 4 END AS t FROM events"),
+    "usr": ("SELECT c_custkey, c_nationkey, c_custkey % 8 + 1 AS f, CASE WHEN c_custkey % 9 = 0 THEN 18 END AS t FROM customer"),
     "nat": ("SELECT n_nationkey, n_name, n_nationkey % 5 + 2 AS f, CASE WHEN n_nationkey % 6 = 0 THEN 19 END AS t FROM nation"),
-    "ping": ("SELECT user_id % 40 AS user_id, event_type, event_id % 16 + 1 AS f, event_id % 16 + 2 AS t FROM events WHERE event_id % 50 = 1"),
+    "ping": ("SELECT user_id, event_type, event_id % 16 + 1 AS f, event_id % 16 + 2 AS t FROM events"),
 }
 
 

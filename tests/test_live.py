@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 
+from deltaloom import queries
 from deltaloom.operators import live
 from deltaloom.plans.analyzer import Analyzer
 from deltaloom.plans.schema import Catalog, IndexDef, TableDef, columns
@@ -149,3 +150,20 @@ def test_views_that_cannot_change_are_not_evaluated():
     plans = {q: Analyzer(CATALOG, None, "declared_view").plan(q) for q in ("SELECT * FROM a WHERE k = 1", "SELECT * FROM a WHERE v > 1", "SELECT * FROM b")}
     assert live.candidates(plans, {"a": [{"id": 1, "k": 2, "v": 1}]}) == {"SELECT * FROM a WHERE v > 1"}
     assert live.candidates(plans, {"a": [{"id": 1, "k": 1, "v": 1}], "b": [{}]}) == set(plans)
+
+
+def test_histories_hold_whole_tables(spark, sf_dir):
+    tables = {"ev": "events", "usr": "customer", "nat": "nation", "ping": "events"}
+    get = queries.histories(spark, sf_dir)
+    for name in queries.HISTORIES:
+        assert get(name).count() == spark.read.parquet(f"{sf_dir}/{tables[name]}.parquet").count(), name
+
+
+def test_a_hot_key_costs_its_intervals(spark):
+    n = 5000  # one key: 25 million pairs
+    made = spark.range(n).selectExpr("id", "1L AS k", "id AS v", "id % 3 + 1 AS _from", "CASE WHEN id % 2 = 0 THEN 5L ELSE 9223372036854775807L END AS _to")
+    plan = Analyzer(CATALOG, None, "declared_view").plan("SELECT x.k FROM a x JOIN a y ON x.k = y.k")
+    assert live.intervals(plan, lambda name: made).count() <= 6 * n
+    sizes = [sum(i % 3 + 1 <= tx and (tx < 5 or i % 2) for i in range(n)) for tx in range(7)]
+    want = {tx: sizes[tx] ** 2 - sizes[tx - 1] ** 2 for tx in range(1, 7) if sizes[tx] != sizes[tx - 1]}
+    assert {r["_tx"]: r["_n"] * (1 if r["_op"] == "insert" else -1) for r in live.deltas(plan, lambda name: made).collect()} == want
