@@ -4,6 +4,7 @@ import datetime
 
 import pytest
 
+from deltaloom import queries
 from deltaloom.functions.kinds import KINDS, Literal, canonical_json, check, coerce, number, parse_duration, parse_timestamp, wide_bytes, wide_int
 from deltaloom.operators import lower
 from deltaloom.plans.analyzer import Analyzer
@@ -206,3 +207,20 @@ def test_row_limits_are_errors(spark):
     with pytest.raises(RuntimeError):
         lower.bounded(spark.range(11), 10)
     assert len(lower.bounded(spark.range(10), 10)) == 10
+
+
+def test_joins_and_visibility_take_whole_tables(spark):
+    base = "/root/testdata/sf0.01"
+    read = lambda t, *c: [tuple(r) for r in spark.read.parquet(f"{base}/{t}.parquet").select(*c).collect()]
+    got = lambda q: sorted(map(tuple, queries.QUERIES[q](spark, base).collect()))
+    orders = read("orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    seen = sorted((k, s) for k, _, s, price in orders if s == "F" or price < 20000)
+    assert got("visibility_union") == seen
+    assert [r[0] for r in got("visibility_join")] == [k for k, _ in seen]
+    by = {}
+    for k, n in read("customer", "c_custkey", "c_nationkey"):
+        by.setdefault(k if k % 300 else None, []).append(n)
+    assert got("join_null_keys") == sorted((k, n) for k, c, _, _ in orders for n in by.get(c if k % 7 else None, []))
+    nations = {k: (name, region) for k, name, region in read("nation", "n_nationkey", "n_name", "n_regionkey")}
+    regions = dict(read("region", "r_regionkey", "r_name"))
+    assert got("multi_cross_edge") == sorted((regions[nations[n][1]], s, nations[n][0]) for s, n in read("supplier", "s_suppkey", "s_nationkey"))
