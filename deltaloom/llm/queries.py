@@ -60,8 +60,19 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
+#: Words between dots and hyphens of a host that label its pages as bad for op8, as a public list of domains would.
+BAD_WORDS = ("casino", "bets", "pills", "ads")
+
+
+def url_labels(pages: DataFrame) -> DataFrame:
+    """(url, bad) for every page, by the words of its host; the given tables have no labels of urls."""
+    words = F.split(urls.host_of(F.col("url").cast("string")), r"[.-]")
+    return pages.select("url", F.arrays_overlap(words, F.array(*map(F.lit, BAD_WORDS))).alias("bad"))
+
+
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(table(spark, sf_dir, "pages"), RULES).withColumnRenamed("id", "page_id")
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge(pages, RULES, url_labels(pages)).withColumnRenamed("id", "page_id")
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -265,6 +265,20 @@ def test_templates_generalise_and_reject_by_purity(spark):
     assert {got[i]["template"].split("/")[2] for i in range(180)} == {"~"}
 
 
+def test_labels_reach_urls_without_a_rule(spark):
+    rows = [(i, f"http://{h}/en/{i}") for h, ids in (("m.casino-win.example.com", range(30)), ("news.example.com", range(100, 130))) for i in ids]
+    pages = spark.createDataFrame([*rows, (50, "http://m.casino-win.example.com/new/page"), (150, "http://news.example.com/new/page")], "page_id long, url string")
+    labelled = queries.url_labels(pages.where("url not like '%/new/%'"))
+    got = {r["id"]: (r["rule"], r["verdict"]) for r in urls.judge(pages, queries.RULES, labelled).collect()}
+    assert {got[i] for i in (*range(30), 50)} == {(None, "block")}  # 50: a template without labels
+    assert {got[i] for i in (*range(100, 130), 150)} == {(None, "allow")}
+
+
+def test_op8_gives_learned_verdicts_of_both_kinds(spark):
+    rows = queries.op8_urls(spark, "/root/testdata/sf0.01").where("rule is null").select("verdict").distinct().collect()
+    assert {r["verdict"] for r in rows} == {"allow", "block"}
+
+
 # --- the pipeline
 
 
