@@ -225,6 +225,15 @@ def test_decontamination_of_odd_rows(spark):
     assert docs.where(count(F.col("text")) == 0).count() == 3
 
 
+def test_passages_of_85_characters_are_found_wherever_they_begin(spark):
+    rng = random.Random(5)
+    item = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(310))
+    filler = lambda: "".join(rng.choice("0123456789") for _ in range(100))
+    rows = [(i, filler() + item[i : i + 85] + filler()) for i in range(len(item) - 84)]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r["id"] for r in decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()} == set(range(len(rows)))
+
+
 # --- url filters
 
 
