@@ -2,8 +2,9 @@
 
 Every text is searched for base kinds (assignments, access keys, hex strings) and for opaque strings: long
 runs of key characters with letters and digits in them. A candidate's value is hashed; over the whole corpus
-the distinct repositories and owners of each hash are counted. A value found with many owners or in many
-repositories is an example that was copied; one that belongs to few looks live. The base spans always stand;
+the distinct repositories and owners of each hash are counted. A value found with many owners is an example
+that was copied; one that belongs to few looks live, however often they repeat it. Where an owner is not
+known, many repositories tell a copied example too. The base spans always stand;
 opaque strings outside base spans stand only if they look live.
 
 Defined results: a null text is empty and has no spans; a null owner or repository is one of its own; equal
@@ -72,21 +73,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """(h, owners, repos) from (h, owner, repo): distinct ones over the whole corpus. Counts meet in partial
+    """(h, owners, repos, unknown) from (h, owner, repo): distinct ones over the whole corpus, and whether an
+    owner is null. Counts meet in partial
     sums, so a value that a third of the rows hold is a few rows by then."""
     null = F.lit("\x00")
     once = candidates.groupBy("h", F.coalesce("owner", null).alias("owner"), F.coalesce("repo", null).alias("repo")).agg(F.lit(1).alias("one"))
     # The owner's share of repositories first: a repository belongs to one owner or counts once for each.
     per = once.groupBy("h", "owner").agg(F.count("*").alias("repos"))
-    return per.groupBy("h").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
+    return per.groupBy("h").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.max(F.col("owner") == null).alias("unknown"))
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str | None = "source", repo_col: str | None = "doc_id", max_owners: int = 2, max_repos: int = 8, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, spans) for every row, or the columns in keep instead of id: spans is an array of (start, end, kind, live), sorted by start and kind;
-    live: at most max_owners owners and max_repos repositories of the whole corpus hold the value."""
+    live: at most max_owners owners of the whole corpus hold the value, and, if one of them is null, at most max_repos repositories."""
     rows = stash(scan(docs, id_col, text_col, owner_col, repo_col, keep).withColumn("row", F.monotonically_increasing_id()), "scan")
     each = rows.where(F.size("found") > 0).select("row", "owner", "repo", F.explode("found").alias("c")).select("row", "owner", "repo", "c.*")
-    owned = stash(ownership(each), "ownership").select("h", ((F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).alias("live"))
+    owned = stash(ownership(each), "ownership").select("h", ((F.col("owners") <= max_owners) & (~F.col("unknown") | (F.col("repos") <= max_repos))).alias("live"))
     # Sides that are read from tables: a hash that many rows hold is dealt to many tasks.
     judged = each.join(owned, "h").where((F.col("k") < len(PATTERNS)) | F.col("live"))
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("k") + 1)

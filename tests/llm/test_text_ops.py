@@ -227,6 +227,15 @@ def test_base_secrets_equal_brute_force(which, request):
     assert key((r["id"], [(x["kind"], x["start"], x["end"]) for x in r["spans"] if x["kind"] != "opaque"]) for r in got) == key(want)
 
 
+def test_a_value_of_one_owner_is_live_however_often_it_stands(spark):
+    mine, anyone = "Yy8" + "m5R" * 8, "Zz9" + "k4Q" * 8
+    rows = [(i, f"my {mine}", "me") for i in range(30)] + [(100 + i, f"see {anyone}", None) for i in range(9)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["id"]: [(x["kind"], x["live"]) for x in r["spans"]] for r in secrets.find_secrets(table).collect()}
+    assert all(got[i] == [("opaque", True)] for i in range(30))
+    assert all(got[100 + i] == [] for i in range(9))  # no owner is known: nine repositories are many
+
+
 def test_ownership_parts_copied_examples_from_live_ones(spark):
     copied, live = "Zz9" + "k4Q" * 8, "Yy8" + "m5R" * 8
     rows = [(i, f"see {copied} here", f"owner{i}") for i in range(9)] + [(20, f"my {live} now token: {live}x", "me"), (21, f"my {live}", "me"), (22, None, None)]
