@@ -1,17 +1,23 @@
 """Near-duplicates by SimHash fingerprints under a Hamming bound, with generalised pigeonhole probing.
 
 The 64 bits are dealt into partitions, correlated bits together. Partition i gets a threshold t_i with
-sum(t_i + 1) = bound + 1, so two fingerprints within the bound agree up to t_i bits in some partition i.
-The thresholds come from dynamic programming on candidate counts: for every partition the number of pairs
-with equal keys is counted over all fingerprints, and carried to larger thresholds by the bits' own
-frequencies. A partition with t_i = -1 is not probed, one with t_i = 0 by equal keys, one with more by all
-keys in that radius.
+sum(t_i + 1) = bound + 1, so two fingerprints within the bound differ in at most t_i bits of some partition i.
+Number of partitions and thresholds come from dynamic programming on estimated candidate counts: how many
+pairs of points lie at each distance in a partition follows from the frequencies of all pairs of bits, which
+are counted over all points, along a tree of the partition's most dependent ones; to it comes what the probes
+cost. A partition with t_i = -1 is not probed, one with t_i = 0 by equal keys. For larger ones both sides of a
+pair go half the way: every point stands under all keys within ceil(t_i / 2) bits of its own, so two points
+that differ in at most t_i bits meet. Whatever meets is compared in full.
 
 Equal fingerprints are one point before anything is joined, so exact copies cost nothing. A bucket's
 points are verified against each other inside the tasks, which put out a chain of links for each group they
 find, never all pairs. A bucket of more than `tile` points is dealt in blocks, and each pair of blocks is a
 task's work of its own.
 
+A point may carry a second fingerprint, of longer shingles. It is not probed, but must agree within a bound
+of its own: at many bits the first alone would link texts that have little in common. An expected share of
+acos(2s / (1 + s)) / pi of its bits differ between texts of which a share s of the shingles is common (Jaccard).
+
 Defined results: null or wordless texts have fingerprint 0 and link like any other; texts of fewer words
 than a shingle are one shingle; repeated rows stay rows; null ids stay null and never name a component that
 has another id; an empty table gives an empty result; other columns, whatever their names, are not read.
@@ -27,7 +33,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deltaloom.llm.common import connected_components, map_rows, stash
@@ -54,20 +60,22 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(rows)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, tag, fp): tag is a hash of the whole text, fp the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, check: int | None = None) -> DataFrame:
+    """(id, tag, fp, fp2): tag is a hash of the whole text, fp the fingerprint as a signed long, fp2 that of
+    shingles of `check` words (zero without)."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.array([fingerprint(x, shingle) for x in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps)], ["id", "tag", "fp"])
+        texts = batch.column(1).to_pylist()
+        marks = lambda n: pa.array(np.array([fingerprint(x, n) if n else 0 for x in texts], np.uint64).view(np.int64))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), marks(shingle), marks(check)], ["id", "tag", "fp", "fp2"])
 
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("tag"))
-    return map_rows(rows, work, "id long, tag long, fp long")
+    return map_rows(rows, work, "id long, tag long, fp long, fp2 long")
 
 
-def bit_statistics(points: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """Over all points: their number, each bit's share of ones, and the bits' correlations (absolute)."""
+def bit_statistics(points: DataFrame) -> tuple[int, np.ndarray]:
+    """Over all points: their number, and for each two bits the share of points in which both are one."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         bits = np.unpackbits(batch.column(0).to_numpy().view(np.uint64).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32)
@@ -79,11 +87,14 @@ def bit_statistics(points: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     both = np.zeros((BITS, BITS))
     for i, j, n in map_rows(points.select("fp"), work, "i int, j int, n long", 1 << 20).groupBy("i", "j").agg(F.sum("n")).collect():  # at most 2080 rows
         both[i, j] = both[j, i] = n
-    if not total:
-        return 0, np.full(BITS, 0.5), np.zeros((BITS, BITS))
-    p = np.diag(both) / total
+    return total, both / total if total else np.full((BITS, BITS), 0.25) + np.eye(BITS) / 4
+
+
+def correlations(both: np.ndarray) -> np.ndarray:
+    """The bits' correlations (absolute)."""
+    p = np.diag(both)
     spread = np.sqrt(np.maximum(p * (1 - p), 1e-9))
-    return total, p, np.abs((both / total - np.outer(p, p)) / np.outer(spread, spread))
+    return np.abs((both - np.outer(p, p)) / np.outer(spread, spread))
 
 
 def group_bits(correlation: np.ndarray, parts: int) -> list[list[int]]:
@@ -125,57 +136,107 @@ def part_keys(fps: np.ndarray, bits: list[int]) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _masks(width: int, radius: int) -> list[tuple[int, int]]:
+    """(mask, bits set) of every change of at most `radius` of `width` bits."""
+    return [(sum(1 << b for b in c), r) for r in range(radius + 1) for c in combinations(range(width), r)]
+
+
 def _keys(points: DataFrame, layout: list[list[int]], radius: list[int]) -> DataFrame:
-    """(part, key, fp, role): role 0 is the point under its own key, 1 under another key within the radius."""
+    """(part, key, fp, fp2): each point under all keys within ceil(t / 2) bits of its own."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        signed = batch.column(0).to_numpy()
+        signed, second = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         fps = signed.view(np.uint64)
         cols: list[list[np.ndarray]] = [[], [], [], []]
         for i, (bits, t) in enumerate(zip(layout, radius, strict=True)):
             if t < 0:
                 continue
             keys = part_keys(fps, bits)
-            masks = [0, *(sum(1 << b for b in c) for r in range(1, t + 1) for c in combinations(range(len(bits)), r))]
-            for mask in masks:
-                for col, x in zip(cols, (np.full(len(fps), i, np.int32), keys ^ np.uint64(mask).astype(np.int64), signed, np.full(len(fps), mask != 0, np.int32)), strict=True):
-                    col.append(x)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["part", "key", "fp", "role"])
-
-    return map_rows(points.select("fp"), work, "part int, key long, fp long, role int", 1 << 16)
+            for r in range((t + 1) // 2 + 1):
+                for change in combinations(range(len(bits)), r):
+                    mask = np.uint64(sum(1 << b for b in change)).astype(np.int64)
+                    for col, x in zip(cols, (np.full(len(fps), i, np.int32), keys ^ mask, signed, second), strict=True):
+                        col.append(x)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["part", "key", "fp", "fp2"])
+
+    return map_rows(points.select("fp", "fp2"), work, "part int, key long, fp long, fp2 long", 1 << 14)
+
+
+def distances(both: np.ndarray, bits: list[int], most: int) -> np.ndarray:
+    """The odds that two points differ in 0, 1, ... `most` of the bits. Bits hang together in the tree of
+    strongest correlations, each depending on the one it hangs on alone; of the pairs of values two points
+    can have there, (0, 0), (0, 1), (1, 0), (1, 1), the two in the middle count as a difference."""
+    p, strength = np.diag(both), correlations(both)
+    parent: dict[int, int | None] = {bits[0]: None}
+    while len(parent) < len(bits):
+        b, on = max(((b, a) for b in bits if b not in parent for a in parent), key=lambda e: (strength[e], -e[0], -e[1]))
+        parent[b] = on
+    below = {b: np.zeros((4, most + 1)) for b in bits}  # for each pair of values: the odds of differences under the bit
+    for table in below.values():
+        table[:, 0] = 1
+    for b in reversed(list(parent)):
+        own = below[b].copy()  # with the bit's own difference
+        own[1:3, 1:], own[1:3, 0] = below[b][1:3, :-1], 0
+        on = parent[b]
+        if on is None:
+            q = np.array([1 - p[b], p[b]])
+            return np.outer(q, q).reshape(4) @ own
+        joint = np.array([[1 - p[on] - p[b] + both[on, b], p[b] - both[on, b]], [p[on] - both[on, b], both[on, b]]]).clip(0)
+        given = joint / np.maximum(joint.sum(axis=1, keepdims=True), 1e-12)
+        under = np.einsum("ac,bd->abcd", given, given).reshape(4, 4) @ own
+        below[on] = np.stack([np.convolve(x, y)[: most + 1] for x, y in zip(below[on], under, strict=True)])
+    raise ValueError("no bits")
+
+
+#: What a probe row costs against a comparison of two points: it is made, shuffled and sorted (about 1 us to 20 ns).
+ROW_COST = 40.0
+
+
+def part_costs(both: np.ndarray, bits: list[int], total: int, bound: int) -> list[float]:
+    """The cost of thresholds -1 to `bound` in a part: its probe rows, and a comparison for each key at which
+    two points meet. Points that differ in d bits meet at as many keys as lie within the radius of both."""
+    w = len(bits)
+    pairs = distances(both, bits, bound + 1) * total * max(total - 1, 0) / 2
+    out = [0.0]
+    for t in range(bound + 1):
+        r = (t + 1) // 2
+        meet = [sum(comb(d, a) * comb(w - d, b) for a in range(d + 1) for b in range(w - d + 1) if max(a, d - a) + b <= r) if d <= w else 0 for d in range(2 * r + 1)]
+        out.append(float(sum(m * n for m, n in zip(meet, pairs, strict=False)) + ROW_COST * total * sum(comb(w, k) for k in range(r + 1))))
+    return out
 
 
 def plan_probes(points: DataFrame, bound: int) -> tuple[list[list[int]], list[int]]:
-    """The layout of the bits and the threshold of each part."""
-    total, p, correlation = bit_statistics(points)
-    parts = next((m for m, most in ((bound + 1, 1 << 22), (max(2, bound), 1 << 32)) if total <= most), max(1, (bound + 1) // 2))
-    layout = group_bits(correlation, parts)
-    pairs = {r["part"]: float(r["n"]) for r in _keys(points, layout, [0] * parts).groupBy("part", "key").count().groupBy("part").agg(F.sum(F.col("count") * (F.col("count") - 1) / 2).alias("n")).collect()}
-    costs = []
-    for i, bits in enumerate(layout):
-        odds = [2 * p[b] * (1 - p[b]) / max(1 - 2 * p[b] * (1 - p[b]), 1e-9) for b in bits]
-        rings = np.zeros(bound + 1)  # candidates at each distance, as multiples of those at 0
-        rings[0] = 1
-        for o in odds:
-            rings[1:] += o * rings[:-1].copy()
-        probes = np.cumsum([comb(len(bits), r) for r in range(bound + 1)])
-        costs.append([0.0, *(pairs.get(i, 0.0) * np.cumsum(rings) + 4 * total * probes)])
-    return layout, allocate(costs, bound)
-
-
-def _groups(fps: np.ndarray, role: np.ndarray, start: np.ndarray, size: np.ndarray, free: np.ndarray, bound: int) -> np.ndarray:
+    """The layout of the bits and the threshold of each part: of the layouts of 1 to bound + 2 parts, the one
+    whose best thresholds cost least."""
+    total, both = bit_statistics(points)
+    strength = correlations(both)
+    best: tuple[float, list[list[int]], list[int]] | None = None
+    for m in range(1, min(bound + 2, BITS) + 1):
+        layout = group_bits(strength, m)
+        costs = [part_costs(both, bits, total, bound) for bits in layout]
+        radius = allocate(costs, bound)
+        cost = sum(c[t + 1] for c, t in zip(costs, radius, strict=True))
+        if best is None or cost < best[0]:
+            best = cost, layout, radius
+    return best[1], best[2]
+
+
+def _groups(fps: np.ndarray, seconds: np.ndarray, start: np.ndarray, size: np.ndarray, bound: int, check: int) -> np.ndarray:
     """A label for each row: rows of one run (start, size of its run) that are linked share one. Pairs at
-    growing distance in the run are compared all at once; free: both may be points under their own key."""
+    growing distance in the run are compared all at once."""
     at = np.arange(len(fps))
     parent = at.copy()
     stop = start + size
     gap = 1
     live = at[at + gap < stop]
-    unsigned = fps.view(np.uint64)
+    unsigned, second = fps.view(np.uint64), seconds.view(np.uint64)
     while len(live):
         other = live + gap
-        ok = (np.bitwise_count(unsigned[live] ^ unsigned[other]) <= bound) & (free[live] | (role[live] != role[other]))
+        ok = np.bitwise_count(unsigned[live] ^ unsigned[other]) <= bound
         a, b = live[ok], other[ok]
+        if check < BITS:
+            ok = np.bitwise_count(second[a] ^ second[b]) <= check
+            a, b = a[ok], b[ok]
         while len(a):
             ra, rb = parent[a], parent[b]
             differ = ra != rb
@@ -190,14 +251,16 @@ def _groups(fps: np.ndarray, role: np.ndarray, start: np.ndarray, size: np.ndarr
     return parent
 
 
-def _verify(rows: DataFrame, radius: list[int], bound: int) -> DataFrame:
-    """Links (u, v) from rows sorted by bucket within their partitions."""
-    exact = np.array([t == 0 for t in radius])
+BUCKET = ("part", "key", "lo", "hi")
+
+
+def _verify(rows: DataFrame, bound: int, check: int) -> DataFrame:
+    """Links (u, v) from rows sorted by bucket within their partitions; u and v are point numbers."""
 
     def links(table: pa.Table) -> Iterator[pa.RecordBatch]:
         if not table.num_rows:
             return
-        part, key, lo, hi, fp, role = (table.column(c).to_numpy() for c in ("part", "key", "lo", "hi", "fp", "role"))
+        part, key, lo, hi, fp, fp2, point = (table.column(c).to_numpy() for c in (*BUCKET, "fp", "fp2", "point"))
         new = np.ones(len(fp), bool)
         new[1:] = (part[1:] != part[:-1]) | (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
         begin = np.flatnonzero(new)
@@ -205,13 +268,13 @@ def _verify(rows: DataFrame, radius: list[int], bound: int) -> DataFrame:
         for long_ones in (False, True):  # long runs one by one, else each step would pass over all rows
             chosen = np.flatnonzero((length > 256) if long_ones else (length > 1) & (length <= 256))
             for own in [[c] for c in chosen] if long_ones else [chosen] if len(chosen) else []:
-                idx = np.concatenate([np.arange(begin[c], begin[c] + length[c]) for c in own])
                 sizes = length[own]
                 start = np.repeat(np.cumsum(sizes) - sizes, sizes)
-                label = _groups(fp[idx], role[idx], start, np.repeat(sizes, sizes), exact[part[idx]], bound)
+                idx = np.repeat(begin[own], sizes) + np.arange(sizes.sum()) - start
+                label = _groups(fp[idx], fp2[idx], start, np.repeat(sizes, sizes), bound, check)
                 order = np.argsort(label, kind="stable")
                 same = label[order][1:] == label[order][:-1]
-                u, v = fp[idx][order][:-1][same], fp[idx][order][1:][same]
+                u, v = point[idx][order][:-1][same], point[idx][order][1:][same]
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
@@ -221,14 +284,12 @@ def _verify(rows: DataFrame, radius: list[int], bound: int) -> DataFrame:
         for batch in batches:
             held.append(batch)
             n += batch.num_rows
-            if n < 1 << 20:
+            if n < 1 << 19:
                 continue
             now = pa.Table.from_batches(held)
-            ends = [now.column(c)[n - 1].as_py() for c in ("part", "key", "lo", "hi")]
-            cut = n  # the last bucket may go on in the next batch
-            same = np.ones(n, bool)
-            for c, e in zip(("part", "key", "lo", "hi"), ends, strict=True):
-                same &= now.column(c).to_numpy() == e
+            same = np.ones(n, bool)  # the last bucket may go on in the next batch
+            for c in BUCKET:
+                same &= now.column(c).to_numpy() == now.column(c)[n - 1].as_py()
             cut = n - int(same[::-1].argmin() if not same.all() else n)
             yield from links(now.slice(0, cut))
             held, n = now.slice(cut).to_batches(), n - cut
@@ -238,35 +299,45 @@ def _verify(rows: DataFrame, radius: list[int], bound: int) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long")
 
 
-def links(points: DataFrame, bound: int = 3, tile: int = 2048) -> DataFrame:
-    """(u, v) between distinct fingerprints: whatever is within the bound is joined by a path of them."""
-    layout, radius = plan_probes(points, bound)
+def links(points: DataFrame, bound: int = 3, tile: int = 4096, check: int = BITS, plan: tuple[list[list[int]], list[int]] | None = None) -> DataFrame:
+    """(u, v) between distinct points (fp, fp2), known by point_of(): whatever is within both bounds is joined
+    by a path of them. plan: a layout and thresholds, instead of those of plan_probes()."""
+    if "fp2" not in points.columns:
+        points = points.withColumn("fp2", F.lit(0).cast("long"))
+    layout, radius = plan or plan_probes(points, bound)
     keyed = _keys(points, layout, radius)
-    hot = stash(keyed.groupBy("part", "key").count().where(F.col("count") > tile), "hot")
+    hot = stash(keyed.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > tile), "hot")
+    carried = ("fp", "fp2", point_of().alias("point"))
     if hot.isEmpty():
-        rows = keyed.select("part", "key", F.lit(0).alias("lo"), F.lit(0).alias("hi"), "fp", "role")
+        rows = keyed.select("part", "key", F.lit(0).alias("lo"), F.lit(0).alias("hi"), *carried)
     else:
-        blocks = F.coalesce(F.ceil(F.col("count") / tile), F.lit(1)).cast("int")
+        blocks = F.coalesce(F.ceil(F.col("n") / tile), F.lit(1)).cast("int")
         other = F.explode(F.sequence(F.lit(0), blocks - 1))
         rows = stash(keyed, "keys").join(hot, ["part", "key"], "left")
-        rows = rows.select("part", "key", "fp", "role", F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("own"), other.alias("other"))
-        rows = rows.select("part", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp", "role")
-    buckets = rows.repartition("part", "key", "lo", "hi").sortWithinPartitions("part", "key", "lo", "hi")
-    return _verify(buckets, radius, bound)
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bound: int = 3, tile: int = 2048) -> DataFrame:
-    """(id, tag, fp, component, root): component is the least id among all rows reachable over links, root a
-    fingerprint of the component, which tells components apart even where ids repeat."""
-    rows = stash(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    points = stash(rows.groupBy("fp").agg(F.min("id").alias("first")), "points")
-    roots = connected_components(stash(links(points, bound, tile), "links"))
-    linked = points.join(roots, points.fp == roots.node).select("fp", "first", "root")
-    linked = stash(linked, "linked")
+        rows = rows.select("part", "key", "fp", "fp2", F.pmod(F.xxhash64("fp", "fp2"), blocks).cast("int").alias("own"), other.alias("other"))
+        rows = rows.select("part", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), *carried)
+    buckets = rows.repartition(*BUCKET).sortWithinPartitions(*BUCKET)
+    return _verify(buckets, bound, check)
+
+
+def point_of() -> Column:
+    """What a point is known by in links: its fingerprint, or with a second one the hash of both."""
+    return F.when(F.col("fp2") == 0, F.col("fp")).otherwise(F.xxhash64("fp", "fp2"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bound: int = 3, tile: int = 4096, check: tuple[int, int] | None = None) -> DataFrame:
+    """(id, tag, fp, component, root): component is the least id among all rows reachable over links, root
+    tells components apart even where ids repeat. check: words of the shingles of a second fingerprint, and
+    its bound."""
+    words, second = check or (None, BITS)
+    rows = stash(fingerprints(docs, id_col, text_col, shingle, words).withColumn("point", point_of()), "fingerprints")
+    points = stash(rows.groupBy("point", "fp", "fp2").agg(F.min("id").alias("first")), "points")
+    roots = connected_components(stash(links(points, bound, tile, second), "links"))
+    linked = stash(points.join(roots, points.point == roots.node).select("point", "first", "root"), "linked")
     least = stash(linked.groupBy("root").agg(F.min("first").alias("component")), "least")
-    named = linked.join(least, "root").select("fp", "component", "root")
-    whole = points.join(named, "fp", "left").select("fp", F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("component")).alias("component"), F.coalesce("root", "fp").alias("root"))
-    return rows.join(stash(whole, "components"), "fp").select("id", "tag", "fp", "component", "root")
+    named = linked.join(least, "root").select("point", "component", "root")
+    whole = points.select("point", "first").join(named, "point", "left").select("point", F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("component")).alias("component"), F.coalesce("root", "point").alias("root"))
+    return rows.join(stash(whole, "components"), "point").select("id", "tag", "fp", "component", "root")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
