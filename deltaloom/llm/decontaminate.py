@@ -11,19 +11,24 @@ width 2(2e + 1) that overlap by half. The steps, each over whole batches of text
 3. what is left is joined with the segments' q-grams, and counted per segment and band;
 4. bands that reach the bound are verified by an alignment of the segment within the band.
 
-The items are a query set of stated size, sent to every worker in blocks of `block` items; one block is one
-pass of a text's q-grams, and the texts are read once.
+Items below `whole` characters are looked for as they are, with the edits that still leave a shared q-gram
+(none below 16 characters), and count only where they stand as whole words; of items below q characters the
+q-gram is the whole item.
 
-Defined results: null texts and items match nothing; items of fewer than `least` characters are left out,
-as they can't be told from chance; an item given twice is two items; repeated documents are reported each;
-an empty table on either side gives an empty result; other columns are not read.
+The items are a query set against all texts. They are read in blocks of `block` items and indexed; up to
+`most` bytes of indexes are sent to the workers at once, and the texts are read once for all of them. Larger
+sets take one pass over the texts for every `most` bytes, whose results are written before the next begins.
+
+Defined results: null texts and items match nothing, nor do items without a letter or digit; an item given
+twice is two items; repeated documents are reported each; an empty table on either side gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import functools
-import pickle
-from collections.abc import Callable
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from deltaloom.llm.common import map_rows
+from deltaloom.llm.common import Shared, map_rows, stash
 
 BITMAP = 22
 #: Marked places worked on at once.
@@ -82,26 +87,25 @@ def grams(codes: np.ndarray, q: int) -> np.ndarray:
 
 
 class Segments:
-    """One block of items, cut and indexed."""
+    """One block of items, cut and indexed. words: a match must not begin or end within a word."""
 
-    def __init__(self, items: list[tuple[object, str]], segment: int = 64, rate: float = 0.08, q: int = 8, least: int = 40):
-        self.q = q
-        codes, item, begin = [], [], []
+    def __init__(self, items: list[tuple[object, str]], segment: int = 64, rate: float = 0.08, q: int = 8, words: bool = False):
+        self.q, self.words = q, words
+        codes, item = [], []
         for i, (_, text) in enumerate(items):
             own, _ = normalize(text)
-            if len(own) < least:
+            if len(own) < q:
                 continue
             step = segment // 2
             starts = [0] if len(own) <= segment else sorted({*range(0, len(own) - segment, step), len(own) - segment})
-            for s in starts:
-                codes.append(own[s : s + segment])
-                item.append(i)
-                begin.append(s)
+            codes += [own[s : s + segment] for s in starts]
+            item += [i] * len(starts)
         self.items = [d for d, _ in items]
         self.codes, self.item = codes, np.array(item, np.int64)
         self.length = np.array([len(c) for c in codes], np.int64)
-        self.edits = (rate * self.length).astype(np.int64)
-        self.least = np.maximum(1, self.length + 1 - q - q * self.edits)
+        # No more edits than leave one of the segment's q-grams whole.
+        self.edits = np.minimum((rate * self.length).astype(np.int64), (self.length - q) // q)
+        self.least = self.length + 1 - q - q * self.edits
         hashes = [grams(c, q) for c in codes]
         self.hash = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(codes)), [len(h) for h in hashes]).astype(np.int64)
@@ -111,6 +115,16 @@ class Segments:
         self.bitmap = np.zeros(1 << BITMAP, bool)
         self.bitmap[self.hash >> np.uint64(64 - BITMAP)] = True
 
+    def __getstate__(self):
+        return self.__dict__ | {"bitmap": np.packbits(self.bitmap)}
+
+    def __setstate__(self, state):
+        self.__dict__ = state | {"bitmap": np.unpackbits(state["bitmap"]).astype(bool)}
+
+    @property
+    def size(self) -> int:
+        return self.hash.nbytes + self.owner.nbytes + self.at.nbytes + 4 * int(self.length.sum()) + (1 << BITMAP)
+
     def _dense(self, marked: np.ndarray) -> np.ndarray:
         """Marked places that have enough marked ones near them for any segment."""
         if not len(marked):
@@ -139,7 +153,14 @@ class Segments:
         if not len(marked):
             return []
         candidates = self._candidates(h, marked)
-        return [x for at in range(0, len(candidates), 512) for x in self._align(codes, candidates[at : at + 512])]
+        found = [x for at in range(0, len(candidates), 512) for x in self._align(codes, candidates[at : at + 512])]
+        return [x for x in found if self._apart(codes, x[1], x[2])] if self.words else found
+
+    @staticmethod
+    def _apart(codes: np.ndarray, begin: int, end: int) -> bool:
+        """Whether neither border of a region is within a word."""
+        letter = lambda i: 0 <= i < len(codes) and chr(codes[i]).isalnum()
+        return not (letter(begin - 1) and letter(begin)) and not (letter(end - 1) and letter(end))
 
     def _candidates(self, h: np.ndarray, marked: np.ndarray) -> list[tuple[int, int]]:
         """(segment, band) with enough hits, by sections of the marked places that overlap by a region. A
@@ -222,12 +243,42 @@ class Segments:
 Match = tuple[object, int, int, int, float]
 
 
-def blocks_of(items: DataFrame, item_col: str = "item_id", item_text_col: str = "text", block: int = 4096, **options) -> list:
-    """The items as broadcast blocks of at most `block` each."""
+def indexes(items: list[tuple[object, str]], q: int = 8, whole: int = 40, **options) -> list[Segments]:
+    """The items of one block by how they are looked for: in segments, as a whole, or by their own length."""
+    kinds: dict[tuple[int, bool], list] = defaultdict(list)
+    for i, text in items:
+        n = len(normalize(text)[0])
+        if any(c.isalnum() for c in text):
+            kinds[min(n, q), n < whole].append((i, text))
+    return [Segments(own, q=width, words=short, **options) for (width, short), own in sorted(kinds.items(), key=lambda k: k[0])]
+
+
+def passes(items: DataFrame, item_col: str = "item_id", item_text_col: str = "text", block: int = 4096, most: int = 64 << 20, **options) -> Iterator[list[Shared]]:
+    """The items as lists of indexes that are sent to the workers, each list of `most` bytes or one index. The
+    driver holds the items of one block, and the indexes of one list."""
     spark = items.sparkSession
-    rows = items.select(F.col(item_col), F.col(item_text_col).cast("string")).where(F.col(item_text_col).isNotNull())
-    query = [(r[0], r[1]) for r in rows.toLocalIterator()]
-    return [spark.sparkContext.broadcast(pickle.dumps(Segments(query[at : at + block], **options))) for at in range(0, len(query), block)]
+    rows = items.select(F.col(item_col), F.col(item_text_col).cast("string")).where(F.col(item_text_col).isNotNull()).toLocalIterator()
+    out: list[Shared] = []
+    query: list[tuple[object, str]] = []
+    size = 0
+
+    def take() -> Iterator[list[Shared]]:
+        nonlocal out, size
+        for own in indexes(query, **options):
+            if out and size + own.size > most:
+                yield out
+                out, size = [], 0
+            out.append(Shared(spark, own))
+            size += own.size
+        query.clear()
+
+    for r in rows:
+        query.append((r[0], r[1]))
+        if len(query) == block:
+            yield from take()
+    yield from take()
+    if out:
+        yield out
 
 
 def matches(text: str | None, blocks: list) -> list[Match]:
@@ -236,7 +287,7 @@ def matches(text: str | None, blocks: list) -> list[Match]:
         return []
     codes, place = normalize(text)
     out = []
-    for segments in map(_loaded, blocks):
+    for segments in (b.value for b in blocks):
         per: dict[int, list] = {}
         for k, begin, end, edits in segments.search(codes):
             per.setdefault(int(segments.item[k]), []).append((begin, end, edits, k))
@@ -247,41 +298,57 @@ def matches(text: str | None, blocks: list) -> list[Match]:
     return out
 
 
-def leak_counter(items: DataFrame, **options) -> Callable[[Column], Column]:
-    """What gives, for a column of texts, the number of items that leaked into each."""
-    blocks = blocks_of(items, **options)
+def _leaks(text: Column, blocks: list[Shared]) -> Column:
+    @F.pandas_udf("boolean")
+    def leaks(texts: pd.Series) -> pd.Series:
+        return pd.Series([bool(matches(t, blocks)) for t in texts], dtype="bool")
+
+    return leaks(text.cast("string"))
 
-    @F.pandas_udf("int")
-    def count(texts: pd.Series) -> pd.Series:
-        return pd.Series([len(matches(t, blocks)) for t in texts], dtype="int32")
 
-    return lambda text: count(text.cast("string"))
+def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, with all their columns, whose text has no segment of any item."""
+    for last, blocks in _marked(passes(items, **options)):
+        docs = docs.where(~_leaks(F.col(text_col), blocks))
+        if not last:
+            docs = stash(docs, "kept")
+            for b in blocks:
+                b.drop()
+    return docs
+
+
+def _marked(parts: Iterator) -> Iterator[tuple[bool, list]]:
+    """Each part and whether it is the last one."""
+    held = next(parts, None)
+    while held is not None:
+        following = next(parts, None)
+        yield following is None, held
+        held = following
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", **options) -> DataFrame:
     """(id, item, begin, end, edits, share): for each document and item of which it has a segment, the
     matching part from begin to end in code points of the whole text, the least edits of a segment, and the
     share of the item's segments that were found."""
-    blocks = blocks_of(items, item_col=item_col, **options)
     item_type = items.schema[item_col].dataType
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m in matches(t, blocks)]
-        types = [batch.schema.field(0).type, to_arrow_type(item_type), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
-        cols = zip(*rows, strict=True) if rows else [()] * 6
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["id", "item", "begin", "end", "edits", "share"])
-
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = f"id {rows.schema['id'].dataType.simpleString()}, item {item_type.simpleString()}, begin int, end int, edits int, share double"
-    return map_rows(rows, work, schema)
-
-
-_HELD: dict[int, Segments] = {}
-
 
-def _loaded(block) -> Segments:
-    if (key := id(block.value)) not in _HELD:
-        if len(_HELD) >= 8:
-            _HELD.clear()
-        _HELD[key] = pickle.loads(block.value)
-    return _HELD[key]
+    def search(blocks: list[Shared]) -> DataFrame:
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m in matches(t, blocks)]
+            types = [batch.schema.field(0).type, to_arrow_type(item_type), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
+            cols = zip(*found, strict=True) if found else [()] * 6
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["id", "item", "begin", "end", "edits", "share"])
+
+        return map_rows(rows, work, schema)
+
+    out = None
+    for last, blocks in _marked(passes(items, item_col, **options)):
+        found = search(blocks)
+        if not last:
+            found = stash(found, "leaks")
+            for b in blocks:
+                b.drop()
+        out = found if out is None else out.unionByName(found)
+    return search([]) if out is None else out
