@@ -10,6 +10,9 @@ A text is cut at white space; what a piece between white space encodes to depend
 each worker keeps the results of the first `remembered` different pieces, and as many words, that it has seen.
 Decoding looks tokens up in one blob of bytes by a table of offsets.
 
+Characters that Python's Unicode tables do not know yet are folded, and parted into words, by the tokenizers
+library, whose tables are newer.
+
 Supports tokenizer files with byte-level BPE: an optional normalizer of NFC, white space and lower case
 with a split pattern and word ends (`</w>`), and added tokens, which are found in raw text.
 
@@ -49,10 +52,15 @@ def byte_characters() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+def _unassigned(c: str) -> bool:
+    return unicodedata.category(c) == "Cn"
+
+
 class Encoder:
     """The tables of one tokenizer file. piece(s) gives the ids of a piece of text without white space."""
 
     def __init__(self, path: str, remembered: int = 200_000):
+        self.path = path
         spec = json.loads(open(path, encoding="utf-8").read())
         model = spec["model"]
         self.suffix = model.get("end_of_word_suffix") or ""
@@ -155,26 +163,41 @@ class Encoder:
                 token = self.shorter.get(last)
         return out
 
+    def _unit_ids(self, units: str) -> list[int]:
+        """The ids of one word in the characters that stand for its bytes."""
+        if self.suffix:
+            units = units[:-1] + chr(ord(units[-1]) + ENDED)
+        return [self.ids[t] for t in self.word(units)]
+
     def _word_ids(self, word: str) -> list[int]:
         if (known := self.words.get(word)) is not None:
             return known
-        units = "".join([self.byte_chars[b] for b in word.encode("utf-8", "surrogatepass")])
-        if self.suffix:
-            units = units[:-1] + chr(ord(units[-1]) + ENDED)
-        out = [self.ids[t] for t in self.word(units)]
+        out = self._unit_ids("".join([self.byte_chars[b] for b in word.encode("utf-8", "surrogatepass")]))
         if len(self.words) < self.remembered:
             self.words[word] = out
         return out
 
     def _plain(self, s: str) -> list[int]:
+        if not s.isascii() and any(map(_unassigned, s)):
+            return self._cut_by_library(s)
         if self.nfc and not s.isascii():
             s = unicodedata.normalize("NFC", s)
         if self.lower:
             s = s.replace("Σ", "σ").lower()  # each letter by itself: no final form
-        seen = s
-        if not s.isascii() and any(unicodedata.category(c) == "Cn" for c in s):  # newer letters: symbols to the tokenizer
-            seen = "".join(["\u00a4" if unicodedata.category(c) == "Cn" else c for c in s])
-        return [i for m in self.pattern.finditer(seen) for i in self._word_ids(s[m.start() : m.end()])]
+        return [i for m in self.pattern.finditer(s) for i in self._word_ids(m.group())]
+
+    @functools.cached_property
+    def library(self):
+        """The tokenizers library's own normalizer and pre-tokenizer of the file."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def _cut_by_library(self, s: str) -> list[int]:
+        """For characters that are newer than Python's tables: the library folds and cuts, the words are
+        encoded here all the same."""
+        words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(s))
+        return [i for units, _ in words for i in self._unit_ids(units)]
 
     def piece(self, s: str) -> tuple[int, ...]:
         if self.special and "<" in s and self.special.search(s):
