@@ -10,7 +10,7 @@ documents, and the key's holder can undo it.
 A permutation of n values is a balanced Feistel network over the next square of two powers, walked along its
 cycle until it is below n. Rounds are keyed BLAKE2b.
 
-Defined results: a null text stays null; numbers that fail their check stay as they are; where kinds
+Defined results: a null text stays null; numbers that fail their check, or have other than ASCII digits, stay as they are; where kinds
 overlap the earlier one of KINDS wins; repeated rows stay rows; an empty table gives an empty result; other
 columns are not read.
 """
@@ -21,6 +21,7 @@ import calendar
 import datetime
 import functools
 import hashlib
+import heapq
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -137,12 +138,28 @@ def _ssn(text: str, key: bytes, back: bool) -> str | None:
     return f"{a + 1 + (a >= 665):03d}-{g + 1:02d}-{s + 1:04d}"
 
 
+#: What an octet can be, by how it is written: its width and whether zeros lead.
+OCTETS = {(1, False): (0, 10), (2, False): (10, 90), (3, False): (100, 156), (2, True): (0, 10), (3, True): (0, 100)}
+
+
 def _ip(text: str, key: bytes, back: bool) -> str | None:
-    parts = [int(p) for p in text.split(".")]
-    if any(p > 255 for p in parts):
+    """Each octet keeps its width and its leading zeros or their absence, so the dots stay where they are;
+    all four are permuted together among the addresses written alike."""
+    parts = text.split(".")
+    if any(int(p) > 255 for p in parts):
         return None
-    value = permute(int.from_bytes(bytes(parts), "big"), 1 << 32, key, "ip", back)
-    return ".".join(map(str, value.to_bytes(4, "big")))
+    shape = [(len(p), len(p) > 1 and p[0] == "0") for p in parts]
+    value, total = 0, 1
+    for p, s in zip(parts, shape, strict=True):
+        low, n = OCTETS[s]
+        value, total = value * n + int(p) - low, total * n
+    value = permute(value, total, key, "ip" + "".join(f"{w}{'z' * zeros}" for w, zeros in shape), back)
+    out = []
+    for s in reversed(shape):
+        low, n = OCTETS[s]
+        value, d = divmod(value, n)
+        out.append(f"{d + low:0{s[0]}d}")
+    return ".".join(reversed(out))
 
 
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -188,12 +205,12 @@ WORK: dict[str, Callable[[str, bytes, bool], str | None]] = {"email": _email, "i
 #: Each kind's shape; what must hold beyond it is checked by its function.
 SHAPES = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "card": r"(?<![\d.-])\d(?:[\x20-]?\d){12,18}(?![\d-]|\.\d)",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d(+])(?:\+?1[\x20.-]?)?(?:\(\d{3}\)\x20?|\d{3}[\x20.-])\d{3}[\x20.-]\d{4}(?!\d)",
-    "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)",
-    "date": r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-]|\.\d)",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "card": r"(?<![0-9.-])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9-]|\.[0-9])",
+    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "phone": r"(?<![0-9(+])(?:\+?1[\x20.-]?)?(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
+    "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
+    "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-]|\.[0-9])",
 }
 #: Every shape has an @ or a digit: texts without either are passed over.
 HINTS = "0123456789@"
@@ -204,13 +221,17 @@ NUMERIC = [(k, regex.compile(SHAPES[k])) for k in KINDS if k != "email"]
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of what passes its check, in order, without overlaps."""
     spans: list[tuple[int, int, str]] = []
-    key = b"check"
     patterns = [("email", EMAIL)] * ("@" in text) + NUMERIC
     for kind, pattern in patterns:
+        own = []
+        at = 0  # the first span that ends after the match begins; both go through the text in order
         for m in pattern.finditer(text):
-            if all(m.end() <= s or e <= m.start() for s, e, _ in spans) and WORK[kind](m.group(), key, False) is not None:
-                spans.append((m.start(), m.end(), kind))
-    return sorted(spans)
+            while at < len(spans) and spans[at][1] <= m.start():
+                at += 1
+            if (at == len(spans) or m.end() <= spans[at][0]) and WORK[kind](m.group(), b"check", False) is not None:
+                own.append((m.start(), m.end(), kind))
+        spans = list(heapq.merge(spans, own))
+    return spans
 
 
 def pseudonymize(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[int, int, str]]]:
