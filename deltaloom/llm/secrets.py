@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deltaloom.llm.common import let, stash
+from deltaloom.llm.common import let, running, stash
 
 #: The patterns of the base kinds. Access keys and hex strings have their least lengths in the
 #: pattern, which finds the same as dropping shorter matches does: a run begins at its first character.
@@ -39,14 +39,10 @@ def _matches(text: Column, kind: str) -> Column:
     def spans(ms: Column) -> Column:
         gaps = F.split(text, pattern, -1)
         pairs = F.zip_with(ms, F.slice(gaps, F.lit(1), F.size(ms)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g"), F.length(m).alias("n")))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,v:string>>").alias("out"))
+        def one(at: Column, p: Column) -> Column:
+            return F.struct((at + p["g"]).alias("s"), (at + p["g"] + p["n"]).alias("e"), p["m"].alias("v"))
 
-        def add(acc: Column, p: Column) -> Column:
-            s = acc["at"] + p["g"]
-            one = F.struct(s.alias("s"), (s + p["n"]).alias("e"), p["m"].alias("v"))
-            return F.struct((s + p["n"]).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-        return F.aggregate(pairs, start, add, lambda acc: acc["out"])
+        return running(pairs, F.lit(0), lambda at, p: at + p["g"] + p["n"], one)
 
     none = F.array().cast("array<struct<s:int,e:int,v:string>>")
     out = let(found, lambda ms: F.when(F.size(ms) == 0, none).otherwise(spans(ms)))
@@ -66,10 +62,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     rows = docs.select(F.col(id_col).alias("id"), named(owner_col).alias("owner"), named(repo_col).alias("repo"), kept.alias("kept"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("id", "owner", "repo", "kept", *(_matches(F.col("text"), k).alias(k) for k in KINDS))
     tag = lambda c, k: F.transform(c, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), F.sha2(x["v"], 256).alias("h")))
-    base = F.concat(*(tag(F.col(k), i) for i, k in enumerate(PATTERNS)))
-    rows = rows.select("id", "owner", "repo", "kept", base.alias("base"), "opaque")
-    free = F.filter("opaque", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    return rows.select("id", "owner", "repo", "kept", F.array_sort(F.concat("base", tag(free, len(PATTERNS)))).alias("found"))
+    every = F.concat(*(tag(F.col(k), i) for i, k in enumerate(KINDS)))
+    rows = rows.select("id", "owner", "repo", "kept", F.array_sort(every).alias("found"))
+    return rows.withColumn("found", F.when(F.size("found") > 1, _apart(F.col("found"))).otherwise(F.col("found")))
+
+
+def _apart(found: Column) -> Column:
+    """The candidates in order without opaque strings that overlap a base span: those that begin before the
+    last end of the base spans so far, or, going backward, end after the next base span begins."""
+    base = lambda x: x["k"] < len(PATTERNS)
+    marked = lambda at, x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["h"].alias("h"), (base(x) | at).alias("free"))
+    ahead = running(found, F.lit(0), lambda end, x: F.when(base(x), F.greatest(end, x["e"])).otherwise(end), lambda end, x: marked(x["s"] >= end, x))
+    behind = running(F.reverse(ahead), F.lit((1 << 31) - 1), lambda begin, x: F.when(base(x), x["s"]).otherwise(begin), lambda begin, x: marked(x["free"] & (x["e"] <= begin), x))
+    free = F.filter(F.reverse(behind), lambda x: x["free"])
+    return F.transform(free, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["h"].alias("h")))
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
@@ -103,11 +109,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """The text with every span replaced by the mark; spans that overlap are one."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        ahead = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] < acc["at"], acc["out"]).otherwise(ahead).alias("out"))
-
-    rest = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, rest).otherwise(text)
+    piece = lambda at, x: F.when(x["start"] < at, "").otherwise(F.concat(F.substring(text, at + 1, x["start"] - at), F.lit(mark)))
+    before = F.array_join(running(spans, F.lit(0), lambda at, x: F.greatest(at, x["end"]), piece), "")
+    last = F.array_max(F.transform(spans, lambda x: x["end"]))
+    return F.when(F.size(spans) > 0, F.concat(before, F.substring(text, last + 1, F.length(text)))).otherwise(text)
