@@ -4,7 +4,8 @@ A shard holds the ids of consecutive documents, in ascending id order, each foll
 l of the matrix has bit l (most significant first) of every id, after ids were stably parted by the bits
 above; zeros come first. rank is answered from counts kept per block of the plane, select by search in them.
 File: magic, length of a JSON header, header, then zstd-compressed sections - document ids, their starts in
-the shard, and for every level its plane. The header names section sizes, so one plane can be read alone.
+the shard, and for every level its rank directory and its plane in frames. The header names the sections'
+sizes, so that a question reads the directories and the frames it touches, and nothing else of the file.
 
 Documents are range-partitioned by id once; each task encodes its range with the tokenizers library, cuts it
 into shards of about `shard_tokens` ids, and writes each under a name no other attempt uses, so a lost or
@@ -12,7 +13,7 @@ repeated task leaves no half file under a name that is read. The manifest, one r
 files count and is written as a table before anything is read back.
 
 Defined results: a null text is empty, and has the end token alone; repeated ids keep all their rows, next
-to each other, one after the other; null ids come first; an empty table gives an empty result; other columns are not read.
+to each other, in the order of their texts' hashes, then of the texts; null ids come first; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,48 +39,74 @@ from pyspark.sql import functions as F
 from deltaloom.llm.bpe import byte_characters
 from deltaloom.llm.common import new_path, stash
 
-MAGIC = b"WMTX0001"
-#: Bits per block of the rank directory.
+MAGIC = b"WMTX0002"
+#: Bits per block of the rank directory, and blocks per frame of a plane that is compressed by itself.
 BLOCK = 4096
+FRAME = 128
+
+
+class Plane:
+    """One level's bits. ranks: ones before each block; frames: what gives the bytes of each frame."""
+
+    def __init__(self, ranks: np.ndarray, frames: list[Callable[[], bytes]]):
+        self.ranks, self.frames = ranks, frames
+        self.held: dict[int, np.ndarray] = {}
+
+    @classmethod
+    def of(cls, bits: np.ndarray) -> Plane:
+        """A plane of packed bits; what is missing of the last block counts as zeros."""
+        step = BLOCK // 8
+        padded = np.zeros(-(-len(bits) // step) * step, np.uint8)
+        padded[: len(bits)] = bits
+        ones = np.bitwise_count(padded).reshape(-1, step).sum(axis=1, dtype=np.int64)
+        frames = [bits[at : at + FRAME * step].tobytes() for at in range(0, len(bits), FRAME * step)]
+        return cls(np.concatenate([[0], np.cumsum(ones)]), [functools.partial(bytes, f) for f in frames])
+
+    def block(self, k: int) -> np.ndarray:
+        frame, at = divmod(k, FRAME)
+        if frame not in self.held:
+            self.held[frame] = np.frombuffer(self.frames[frame](), np.uint8)
+        return self.held[frame][at * BLOCK // 8 : (at + 1) * BLOCK // 8]
+
+    def whole(self) -> np.ndarray:
+        return np.frombuffer(b"".join([f() for f in self.frames]), np.uint8)
 
 
 class WaveletMatrix:
-    """Bit planes of a sequence of ids below 2**levels."""
-
-    def __init__(self, planes: list[np.ndarray], n: int):
-        self.planes, self.n, self.levels = planes, n, len(planes)
-        self.ranks = []
-        for p in planes:
-            padded = np.zeros(-(-n // BLOCK) * BLOCK // 8, np.uint8)
-            padded[: len(p)] = p
-            ones = np.bitwise_count(padded).reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.int64)
-            self.ranks.append(np.concatenate([[0], np.cumsum(ones)]))
-        self.zeros = [n - int(r[-1]) for r in self.ranks]
+    """Bit planes of a sequence of ids below 2**levels. zeros: how many each plane has."""
+
+    def __init__(self, planes: list[Plane], n: int, zeros: list[int]):
+        self.planes, self.n, self.levels, self.zeros = planes, n, len(planes), zeros
 
     @classmethod
     def build(cls, ids: np.ndarray, levels: int) -> WaveletMatrix:
-        planes, now = [], ids
+        planes, now, zeros = [], ids, []
         for level in range(levels - 1, -1, -1):
             chosen = (now & now.dtype.type(1 << level)) != 0
-            planes.append(np.packbits(chosen))
+            planes.append(Plane.of(np.packbits(chosen)))
             now = np.concatenate([now[~chosen], now[chosen]])
-        return cls(planes, len(ids))
+            zeros.append(len(ids) - int(planes[-1].ranks[-1]))
+        return cls(planes, len(ids), zeros)
 
     def _bit(self, level: int, at: int) -> int:
-        return int(self.planes[level][at >> 3]) >> (7 - (at & 7)) & 1
+        return int(self.planes[level].block(at // BLOCK)[at % BLOCK >> 3]) >> (7 - (at & 7)) & 1
 
     def _rank(self, level: int, at: int) -> int:
         """Ones before place `at` of a level."""
-        block, plane = at // BLOCK, self.planes[level]
-        out = int(self.ranks[level][block]) + int(np.bitwise_count(plane[block * BLOCK // 8 : at >> 3]).sum())
-        return out + (int(plane[at >> 3]) >> (8 - (at & 7))).bit_count() if at & 7 else out
+        block, rest = divmod(at, BLOCK)
+        out = int(self.planes[level].ranks[block])
+        if rest:
+            bits = self.planes[level].block(block)
+            out += int(np.bitwise_count(bits[: rest >> 3]).sum())
+            out += (int(bits[rest >> 3]) >> (8 - (rest & 7))).bit_count() if rest & 7 else 0
+        return out
 
     def _select(self, level: int, bit: int, k: int) -> int:
         """The place of the k-th (from 0) such bit of a level."""
-        ranks = self.ranks[level]
+        ranks = self.planes[level].ranks
         before = ranks if bit else np.minimum(np.arange(len(ranks)) * BLOCK, self.n) - ranks
         block = int(np.searchsorted(before, k, side="right")) - 1
-        bits = np.unpackbits(self.planes[level][block * BLOCK // 8 : (block + 1) * BLOCK // 8])[: self.n - block * BLOCK]
+        bits = np.unpackbits(self.planes[level].block(block))[: self.n - block * BLOCK]
         return block * BLOCK + int(np.flatnonzero(bits == bit)[k - int(before[block])])
 
     def access(self, at: int) -> int:
@@ -121,7 +148,7 @@ class WaveletMatrix:
         """Every id in order: the parting of each level is undone from the last one up."""
         out = np.zeros(self.n, np.uint32 if self.levels > 16 else np.uint16)
         for level in range(self.levels - 1, -1, -1):
-            bit = np.unpackbits(self.planes[level], count=self.n).astype(bool)
+            bit = np.unpackbits(self.planes[level].whole(), count=self.n).astype(bool)
             up = np.empty_like(out)
             up[~bit] = out[: self.zeros[level]]
             up[bit] = out[self.zeros[level] :] | out.dtype.type(1 << (self.levels - 1 - level))
@@ -133,24 +160,61 @@ def pack(ids: np.ndarray, doc_ids: list[int | None], starts: np.ndarray, levels:
     squeeze = zstandard.ZstdCompressor(level=1).compress
     docs = np.array([d or 0 for d in doc_ids], "<i8")
     known = np.packbits(np.array([d is not None for d in doc_ids], np.uint8)).tobytes()
-    sections = [squeeze(x) for x in (docs.tobytes(), known, starts.astype("<i8").tobytes(), *(p.tobytes() for p in WaveletMatrix.build(ids, levels).planes))]
-    header = json.dumps({"n": len(ids), "docs": len(doc_ids), "levels": levels, "sections": [len(s) for s in sections]}).encode()
+    matrix = WaveletMatrix.build(ids, levels)
+    sections = [squeeze(x) for x in (docs.tobytes(), known, starts.astype("<i8").tobytes())]
+    for p in matrix.planes:
+        sections += [squeeze(x) for x in (np.diff(p.ranks).astype("<u2").tobytes(), *(f() for f in p.frames))]
+    header = json.dumps({"n": len(ids), "docs": len(doc_ids), "levels": levels, "zeros": matrix.zeros, "block": BLOCK, "frame": FRAME, "sections": [len(s) for s in sections]}).encode()
     return b"".join([MAGIC, struct.pack("<I", len(header)), header, *sections])
 
 
-def unpack(data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
-    """The matrix of a shard file, its document ids and their starts in it."""
-    if data[:8] != MAGIC:
-        raise ValueError("not a shard file")
-    (size,) = struct.unpack("<I", data[8:12])
-    header = json.loads(data[12 : 12 + size])
-    at, parts, open_ = 12 + size, [], zstandard.ZstdDecompressor().decompress
-    for n in header["sections"]:
-        parts.append(np.frombuffer(open_(data[at : at + n]), np.uint8))
-        at += n
-    known = np.unpackbits(parts[1], count=header["docs"])
-    docs = [d if k else None for d, k in zip(parts[0].view("<i8").tolist(), known.tolist(), strict=True)]
-    return WaveletMatrix(parts[3:], header["n"]), docs, parts[2].view("<i8")
+class Shard:
+    """A shard file by what reads (place, length) of it. Sections are read and unpacked when they are asked for."""
+
+    def __init__(self, read: Callable[[int, int], bytes]):
+        head = read(0, 12)
+        if head[:8] != MAGIC:
+            raise ValueError("not a shard file")
+        (size,) = struct.unpack("<I", head[8:12])
+        self.header = header = json.loads(read(12, size))
+        if (header["block"], header["frame"]) != (BLOCK, FRAME):
+            raise ValueError("a shard file of other blocks")
+        places = np.cumsum([12 + size, *header["sections"]]).tolist()
+        self._section = lambda k: zstandard.ZstdDecompressor().decompress(read(places[k], header["sections"][k]))
+        frames = -(-header["n"] // (BLOCK * FRAME))
+        ranks = lambda k: np.concatenate([[0], np.cumsum(np.frombuffer(self._section(k), "<u2"), dtype=np.int64)])
+        firsts = [3 + level * (frames + 1) for level in range(header["levels"])]
+        planes = [_LazyPlane(functools.partial(ranks, k), [functools.partial(self._section, k + 1 + f) for f in range(frames)]) for k in firsts]
+        self.matrix = WaveletMatrix(planes, header["n"], header["zeros"])
+
+    @functools.cached_property
+    def docs(self) -> list[int | None]:
+        known = np.unpackbits(np.frombuffer(self._section(1), np.uint8), count=self.header["docs"])
+        return [d if k else None for d, k in zip(np.frombuffer(self._section(0), "<i8").tolist(), known.tolist(), strict=True)]
+
+    @functools.cached_property
+    def starts(self) -> np.ndarray:
+        return np.frombuffer(self._section(2), "<i8")
+
+
+class _LazyPlane(Plane):
+    def __init__(self, make: Callable[[], np.ndarray], frames: list[Callable[[], bytes]]):
+        self.make, self.frames, self.held = make, frames, {}
+
+    @functools.cached_property
+    def ranks(self) -> np.ndarray:
+        return self.make()
+
+
+def unpack(data: bytes) -> Shard:
+    return Shard(lambda at, n: data[at : at + n])
+
+
+def open_shard(path: str) -> Shard:
+    """A shard of which only what is asked for is read."""
+    fs, at = file_system(path)
+    file = fs.open_input_file(at)
+    return Shard(lambda place, n: file.read_at(n, place))
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -285,28 +349,35 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int, id_col: s
         if held:
             yield flush()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("tie"))
     n = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return stash(rows.repartitionByRange(n, "id").sortWithinPartitions("id").mapInArrow(run, MANIFEST), "manifest")
+    # The hash parts rows of one id that stands very often, and gives them an order that no attempt changes.
+    ranged = rows.repartitionByRange(n, "id", "tie").sortWithinPartitions("id", "tie", "text").select("id", "text")
+    return stash(ranged.mapInArrow(run, MANIFEST), "manifest")
 
 
 def read_documents(manifest: DataFrame) -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of every document, from the files the manifest names."""
-    before = F.coalesce(F.sum("tokens").over(Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    earlier = lambda w: F.coalesce(F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # Shards are summed within the task that wrote them; the window without a key has one row per such task.
+    parts = manifest.groupBy("part").agg(F.sum("tokens").alias("tokens")).select("part", earlier(Window.orderBy("part")).alias("first"))
+    files = manifest.select("part", "path", earlier(Window.partitionBy("part").orderBy("shard")).alias("within"))
+    files = files.join(parts, "part").select("path", (F.col("first") + F.col("within")).alias("base"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                matrix, docs, starts = unpack(read_file(path))
+                shard = unpack(read_file(path))
+                matrix, docs, starts = shard.matrix, shard.docs, shard.starts
                 ids = matrix.all().astype("<u4")
                 bounds = np.append(starts, matrix.n)
                 view = memoryview(ids.tobytes())
                 crcs = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts + base, pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(crcs, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
 
-    files = manifest.select("path", before.alias("base"), "tokens")
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return files.repartition(n, F.xxhash64("path")).select("path", "base").mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(n, F.xxhash64("path")).mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(manifest: DataFrame, token: int) -> DataFrame:
@@ -315,7 +386,8 @@ def lookup(manifest: DataFrame, token: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                matrix, docs, starts = unpack(read_file(path))
+                shard = open_shard(path)
+                matrix, docs, starts = shard.matrix, shard.docs, shard.starts
                 places = np.array([matrix.find(token, k) for k in range(matrix.count(token))], np.int64)
                 own, n = np.unique(np.searchsorted(starts, places, side="right") - 1, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([docs[i] for i in own], pa.int64()), pa.array(n, pa.int64())], ["id", "n"])
