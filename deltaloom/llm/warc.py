@@ -4,10 +4,13 @@ Each record is a gzip member of its own. Records with equal payloads of at least
 once: that of the smallest page id is a response, the others are revisits that name it. Which record is
 which is decided on digests alone; the payloads move once, to be written.
 
-The reader takes members and records one after the other. Where a check fails - a broken member, a version
-line, a length, a digest - it searches on for the next place where a valid member with a version line (or,
-in a plain file, a version line with valid headers) begins, goes on from there, and reports the bytes between
-as a quarantined gap with the reason.
+The reader takes an archive in pieces of bounded size, whatever its own, and holds one record at a time. A
+gzip member may have one record or many. Where a check fails - a broken member, a version line, a length, a
+digest - it searches on for the next place where a valid member with a version line (or, in a plain file or
+within a member, a version line with valid headers) begins, goes on from there, and reports the bytes between
+as a quarantined gap with the reason. A record counts once what follows it is a version line or a whole end.
+Digests are checked as SHA-1, SHA-256 or MD5, in hex or base 32; a payload digest of a record whose body is an
+HTTP message is of the message's body.
 
 Defined results: a null payload is empty; payloads below `least` bytes are always responses; rows that
 repeat the smallest page id with the same payload are responses too; a null page id never becomes a
@@ -17,11 +20,12 @@ other columns are not read.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deltaloom.llm.common import new_path, stash
-from deltaloom.llm.tokens import read_file, write_file
+from deltaloom.llm.tokens import file_system, write_file
 
 VERSION = b"WARC/1.1"
 MAGIC = b"\x1f\x8b\x08"
@@ -59,7 +63,8 @@ def member(data: bytes, level: int = 6) -> bytes:
 
 @dataclass
 class Gap:
-    """Bytes of a file that were given up."""
+    """Bytes of a file that were given up. Within a member that has other records, the bytes are the member's
+    and the reason says which part of its contents is lost."""
 
     start: int
     end: int
@@ -70,92 +75,182 @@ class Damaged(ValueError):
     pass
 
 
-def parse(data: bytes, at: int, whole: bool) -> tuple[dict[str, str], bytes, int]:
-    """Headers, body and end of the record at a place; whole: nothing may follow it."""
-    if not data.startswith(b"WARC/1.", at):
+#: Bytes read at once.
+PIECE = 1 << 20
+#: The most bytes that headers have.
+HEADERS = 1 << 20
+
+
+class Stream:
+    """Bytes from pieces, of which those from `at` on are held. more() gives the next piece, empty at the end."""
+
+    def __init__(self, more: Callable[[], bytes], at: int = 0):
+        self.more, self.at, self.held, self.ended = more, at, bytearray(), False
+
+    def need(self, n: int) -> bool:
+        """Whether there are n bytes; they are held then."""
+        while len(self.held) < n and not self.ended:
+            piece = self.more()
+            self.ended = not piece
+            self.held += piece
+        return len(self.held) >= n
+
+    def skip(self, n: int) -> None:
+        del self.held[:n]
+        self.at += n
+
+    def find(self, pattern: re.Pattern, width: int, begin: int = 0) -> bool:
+        """Goes on to the next match, of at most `width` bytes, from `begin` on; to the end if there is none."""
+        self.need(begin)
+        self.skip(min(begin, len(self.held)))
+        while True:
+            self.need(PIECE)
+            if m := pattern.search(self.held):
+                self.skip(m.start())
+                return True
+            if self.ended:
+                self.skip(len(self.held))
+                return False
+            self.skip(len(self.held) - width + 1)
+
+
+def _digest_fits(value: str, data: bytes) -> bool:
+    """Whether a digest header agrees; one of another kind is not judged."""
+    kind, _, digest = value.partition(":")
+    kind = kind.strip().lower().replace("-", "")
+    if kind not in ("sha1", "sha256", "md5"):
+        return True
+    own = hashlib.new(kind, data, usedforsecurity=False).digest()
+    return digest.strip().lower() == own.hex() or digest.strip().upper().rstrip("=") == base64.b32encode(own).decode().rstrip("=")
+
+
+def parse(stream: Stream) -> tuple[dict[str, str], bytes, int]:
+    """Headers, body and length of the record at the stream's place, which stays there."""
+    if not stream.need(7) or not stream.held.startswith(b"WARC/1."):
         raise Damaged("no version line")
-    head = data.find(b"\r\n\r\n", at)
-    if head < 0:
+    n = 1 << 12
+    while stream.need(n) and stream.held.find(b"\r\n\r\n", 0, n) < 0 and n < HEADERS:
+        n *= 4
+    if (head := stream.held.find(b"\r\n\r\n", 0, n)) < 0:
         raise Damaged("headers do not end")
     headers = {}
-    for line in data[at:head].split(b"\r\n")[1:]:
+    for line in bytes(stream.held[:head]).split(b"\r\n")[1:]:
         k, colon, v = line.partition(b":")
         if not colon:
             raise Damaged("bad header line")
         headers[k.decode("latin-1").strip().lower()] = v.decode("utf-8", "surrogateescape").strip()
     length = headers.get("content-length", "")
-    if not length.isdigit():
+    if not (length.isascii() and length.isdigit()):
         raise Damaged("no length")
     end = head + 4 + int(length)
-    if data[end : end + 4] != b"\r\n\r\n" or whole and len(data) != end + 4:
+    if not stream.need(end + 4) or stream.held[end : end + 4] != b"\r\n\r\n":
         raise Damaged("length does not fit")
-    body = data[head + 4 : end]
-    kind, _, digest = headers.get("warc-payload-digest", "").partition(":")
-    if headers.get("warc-type") == "response" and kind == "sha256" and hashlib.sha256(body).hexdigest() != digest:
+    body = bytes(stream.held[head + 4 : end])
+    payload = body.partition(b"\r\n\r\n")[2] if headers.get("content-type", "").startswith("application/http") else body
+    if not _digest_fits(headers.get("warc-block-digest", ""), body) or headers.get("warc-type") in ("response", "resource") and "chunked" not in str(body[:HEADERS]).lower() and not _digest_fits(headers.get("warc-payload-digest", ""), payload):
         raise Damaged("digest differs")
     return headers, body, end + 4
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    """What the gzip member at a place holds, and where it ends."""
-    d = zlib.decompressobj(31)
-    try:
-        out = d.decompress(data[at:] if at else data)
-    except zlib.error as e:
-        raise Damaged("member is broken") from e
-    if not d.eof:
-        raise Damaged("member does not end")
-    return out, len(data) - len(d.unused_data)
-
-
-def _next(data: bytes, at: int, packed: bool) -> int:
-    """The next place after `at` where a record can begin: a version line, or a member that begins with one.
-    What begins there is parsed in full afterwards."""
-    for m in (MEMBER if packed else LINE).finditer(data, at + 1):
-        if not packed:
-            return m.start()
-        try:
-            if zlib.decompressobj(31).decompress(data[m.start() : m.start() + 512], 7) == b"WARC/1.":
-                return m.start()
-        except zlib.error:
-            continue
-    return len(data)
-
-
-def salvage(data: bytes) -> Iterator[tuple[dict[str, str], bytes] | Gap]:
-    """The records of an archive, compressed or plain, and its gaps, in order."""
-    packed = data.startswith(MAGIC) or not data.startswith(b"WARC/") and data.find(MAGIC) >= 0
-    at = 0
+def _records(stream: Stream) -> Iterator[tuple[dict[str, str], bytes] | Gap]:
+    """The records and gaps of plain bytes. A record is held until what follows it is seen."""
     gap: Gap | None = None
-    while at < len(data):
+    while stream.need(1):
         try:
-            if packed:
-                # One member at a time: an input of bounded size first, all that follows only if it is larger.
-                if data[at : at + 3] != MAGIC:
-                    raise Damaged("no member here")
-                step = 1 << 20
-                while True:
-                    part = data[at : at + step]
-                    try:
-                        out, size = _member(part, 0)
-                        break
-                    except Damaged as e:
-                        if str(e) != "member does not end" or at + step >= len(data):
-                            raise
-                        step *= 4
-                headers, body, _ = parse(out, 0, whole=True)
-                end = at + size
-            else:
-                headers, body, end = parse(data, at, whole=False)
+            headers, body, size = parse(stream)
         except Damaged as e:
-            gap = gap or Gap(at, at, str(e))
-            gap.end = at = _next(data, at, packed)
+            gap = gap or Gap(stream.at, stream.at, str(e))
+            stream.find(LINE, 10, 1)
+            gap.end = stream.at
             continue
+        stream.skip(size)
+        stream.need(1)  # fails where the rest, which vouches for the record, is broken
         if gap:
             yield gap
             gap = None
         yield headers, body
-        at = end
+    if gap:
+        yield gap
+
+
+class _Member:
+    """The pieces that a gzip member holds, from a stream that stands at it; `end` is where it ends."""
+
+    def __init__(self, stream: Stream):
+        self.stream, self.unpack, self.taken = stream, zlib.decompressobj(31), 0
+        self.rest = b""
+
+    def more(self) -> bytes:
+        while not self.unpack.eof:
+            if not self.rest:
+                if not self.stream.need(self.taken + 1):
+                    raise Damaged("member does not end")
+                self.rest = bytes(self.stream.held[self.taken : self.taken + PIECE])
+                self.taken += len(self.rest)
+            try:
+                out = self.unpack.decompress(self.rest, PIECE)
+            except zlib.error as e:
+                raise Damaged("member is broken") from e
+            self.rest = self.unpack.unconsumed_tail
+            if self.unpack.eof:
+                self.taken -= len(self.unpack.unused_data)
+            if out:
+                return out
+        return b""
+
+
+def _next_member(stream: Stream) -> None:
+    """Goes on to the next member that begins with a version line."""
+    while stream.find(MEMBER, 3, 1):
+        stream.need(512)
+        try:
+            if zlib.decompressobj(31).decompress(bytes(stream.held[:512]), 7) == b"WARC/1.":
+                return
+        except zlib.error:
+            continue
+
+
+def salvage(read: Callable[[int], bytes]) -> Iterator[tuple[dict[str, str], bytes] | Gap]:
+    """The records of an archive, compressed or plain, and its gaps, in order; read(n) gives up to n more bytes.
+    A member's compressed bytes are held until it is through, as a search may have to go back into them."""
+    stream = Stream(lambda: read(PIECE))
+    stream.need(PIECE)
+    if not stream.held.startswith(MAGIC) and (stream.held.startswith(b"WARC/") or stream.held.find(MAGIC) < 0):
+        yield from _records(stream)
+        return
+    gap: Gap | None = None
+    while stream.need(1):
+        start, member = stream.at, _Member(stream)
+        found = 0
+        try:
+            if not stream.need(3) or stream.held[:3] != MAGIC:
+                raise Damaged("no member here")
+            inner = Stream(member.more)
+            inner.need(7)
+            if inner.held[:7] != b"WARC/1.":
+                raise Damaged("no version line")
+            lost: Gap | None = None
+            for x in _records(inner):
+                if isinstance(x, Gap):
+                    lost = x
+                    continue
+                if gap:
+                    yield gap
+                    gap = None
+                if lost:
+                    yield Gap(start, stream.at + member.taken, f"{lost.reason}, {lost.start} to {lost.end} within the member")
+                    lost = None
+                found += 1
+                yield x
+            if lost and found:
+                yield Gap(start, stream.at + member.taken, f"{lost.reason}, {lost.start} to {lost.end} within the member")
+            elif lost:
+                raise Damaged(lost.reason)
+            stream.skip(member.taken)
+        except Damaged as e:
+            gap = gap or Gap(start, start, str(e))
+            _next_member(stream)
+            gap.end = stream.at
     if gap:
         yield gap
 
@@ -221,7 +316,8 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 rows, size = [], 0
-                for x in salvage(read_file(path)):
+                fs, at = file_system(path)
+                for x in salvage(fs.open_input_stream(at).read):
                     if isinstance(x, Gap):
                         rows.append({"path": path, "kind": "gap", "gap_start": x.start, "gap_end": x.end, "reason": x.reason})
                         continue
