@@ -61,7 +61,7 @@ RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 
 
 #: Words between dots and hyphens of a host that label its pages as bad for op8, as a public list of domains would.
-BAD_WORDS = ("casino", "bets", "pills", "ads")
+BAD_WORDS = ("adult", "ads", "bets", "casino", "pills", "spam")
 
 
 def url_labels(pages: DataFrame) -> DataFrame:
