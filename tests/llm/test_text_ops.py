@@ -2,8 +2,10 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -118,25 +120,114 @@ def test_near_duplicates_equal_brute_force(which, request):
     assert key(got) == key(want)
 
 
-@pytest.mark.parametrize(("bound", "tile"), [(3, 8), (3, 4096), (1, 8), (5, 32)])
-def test_links_join_whatever_is_within_the_bound(spark, bound, tile):
-    rng = np.random.default_rng(bound)
-    points = {int(x) for x in rng.integers(0, 2**63, 150)}
-    for x in list(points)[:40]:
-        for _ in range(4):
-            x ^= sum(1 << int(b) for b in rng.choice(63, rng.integers(1, 5), replace=False))
+def clustered(rng, n=150, copies=4, most=5):
+    """Random points and, for some, points a few bits away."""
+    points = {int(x) for x in rng.integers(0, 2**63, n)}
+    for x in list(points)[: n // 4]:
+        for _ in range(copies):
+            x ^= sum(1 << int(b) for b in rng.choice(63, rng.integers(1, most), replace=False))
             points.add(x)
-    points = sorted(points)
-    table = spark.createDataFrame([(p, i) for i, p in enumerate(points)], "fp long, first long")
-    found = simhash.links(table, bound, tile).collect()
-    assert all((u ^ v).bit_count() for u, v in found)
-    want = {c for _, _, c in components(list(enumerate(points)), bound)}
-    roots = simhash.connected_components(spark.createDataFrame(found, "u long, v long")).collect() if found else []
+    return sorted(points)
+
+
+def groups_of(spark, found, points):
+    """The least place in points of each group that the links make."""
+    roots = simhash.connected_components(found).collect()
     joined = {}
     for r in roots:
         joined.setdefault(r["root"], []).append(points.index(r["node"]))
     alone = set(range(len(points))) - {i for g in joined.values() for i in g}
-    assert {min(g) for g in joined.values()} | alone == want
+    return {min(g) for g in joined.values()} | alone
+
+
+def all_thresholds(parts, bound):
+    """Every vector of thresholds with sum(t + 1) = bound + 1."""
+    if parts == 1:
+        return [(bound,)]
+    return [(t, *rest) for t in range(-1, bound + 1) for rest in all_thresholds(parts - 1, bound - t - 1)]
+
+
+@pytest.mark.parametrize(("bound", "tile"), [(3, 8), (3, 4096), (1, 8), (5, 32), (11, 64)])
+def test_links_join_whatever_is_within_the_bound(spark, bound, tile):
+    points = clustered(np.random.default_rng(bound))
+    table = spark.createDataFrame([(p, i) for i, p in enumerate(points)], "fp long, first long")
+    found = simhash.links(table, bound, tile)
+    assert all((u ^ v).bit_count() for u, v in found.collect())
+    assert groups_of(spark, found, points) == {c for _, _, c in components(list(enumerate(points)), bound)}
+
+
+def buckets_of(points, layout, radius):
+    """The pairs that the keys of a plan bring together, straight from the definition."""
+    met, by = set(), {}
+    for i, (bits, t) in enumerate(zip(layout, radius, strict=True)):
+        for x in points if t >= 0 else ():
+            key = tuple(x >> (63 - b) & 1 for b in bits)
+            for r in range((t + 1) // 2 + 1):
+                for c in combinations(range(len(bits)), r):
+                    by.setdefault((i, tuple(k ^ (j in c) for j, k in enumerate(key))), set()).add(x)
+    for own in by.values():
+        met |= set(combinations(sorted(own), 2))
+    return met
+
+
+@pytest.mark.parametrize(("parts", "bound"), [(1, 1), (2, 1), (2, 2), (2, 3), (3, 3), (3, 4), (4, 5), (6, 5)])
+def test_every_threshold_vector_brings_near_points_together(parts, bound):
+    points = clustered(np.random.default_rng(parts), 40)
+    near = {(a, b) for a, b in combinations(points, 2) if (a ^ b).bit_count() <= bound}
+    layout = simhash.group_bits(np.eye(64), parts)
+    assert near
+    for radius in all_thresholds(parts, bound):
+        if max(radius) <= 3:  # beyond it the slow version has too many keys
+            assert near <= buckets_of(points, layout, radius), radius
+
+
+@pytest.mark.parametrize(("parts", "bound", "radius"), [(3, 3, (1, 0, 0)), (2, 3, (1, 1)), (3, 3, (2, 0, -1)), (2, 5, (2, 2)), (4, 3, (0, 0, 0, 0)), (3, 4, (-1, 3, 0)), (6, 5, (0, 0, 1, 0, 0, -1))])
+def test_links_of_a_given_plan_equal_all_pairs(spark, parts, bound, radius):
+    points = clustered(np.random.default_rng(parts + bound))
+    table = spark.createDataFrame([(p, i) for i, p in enumerate(points)], "fp long, first long")
+    found = simhash.links(table, bound, 64, plan=(simhash.group_bits(np.eye(64), parts), list(radius)))
+    assert groups_of(spark, found, points) == {c for _, _, c in components(list(enumerate(points)), bound)}
+
+
+def test_a_second_fingerprint_must_agree_too(spark):
+    rng = np.random.default_rng(9)
+    first = clustered(rng, 80)
+    rows = [(x, int(rng.integers(1, 4)), 0) for x in first]
+    table = spark.createDataFrame(rows, "fp long, fp2 long, first long")
+    number = {(r["fp"], r["fp2"]): r["p"] for r in table.select("fp", "fp2", simhash.point_of().alias("p")).collect()}
+    points = [number[x, y] for x, y, _ in rows]
+    parent = list(range(len(rows)))
+    for _ in rows:  # least number over links, until nothing moves
+        for i, (x, y, _) in enumerate(rows):
+            for j, (v, w, _) in enumerate(rows):
+                if (x ^ v).bit_count() <= 3 and (y ^ w).bit_count() <= 1:
+                    parent[i] = parent[j] = min(parent[i], parent[j])
+    assert groups_of(spark, simhash.links(table, 3, 32, check=1), points) == set(parent)
+
+
+def test_skewed_bits_get_unequal_thresholds(spark):
+    rng = np.random.default_rng(2)
+    low = rng.integers(0, 2**33, 3000)  # the 31 bits above are almost constant
+    points = sorted({int(x) | (1 << int(rng.integers(33, 63)) if rng.random() < 0.05 else 0) for x in low})
+    for x in points[:60]:
+        points.append(x ^ 5)
+    points = sorted(set(points))
+    table = spark.createDataFrame([(p, p) for p in points], "fp long, first long")
+    layout, radius = simhash.plan_probes(table, 3)
+    assert len(set(radius)) > 1 and sum(t + 1 for t in radius) == 4 and sorted(b for bits in layout for b in bits) == list(range(64))
+    want = {c for _, _, c in components(list(enumerate(points)), 3)}
+    assert groups_of(spark, simhash.links(table, 3), points) == want
+
+
+def test_distances_follow_from_the_bits():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2, (4000, 6))
+    bits = np.concatenate([base, base ^ (rng.random((4000, 6)) < 0.1), np.zeros((4000, 52), int)], axis=1)  # pairs that depend on each other
+    both = (bits.T @ bits) / 4000
+    for own in ([0, 6, 1, 7], [0, 1, 2], [0, 6, 1, 7, 2, 8, 20]):
+        a, b = bits[:2000, own], bits[2000:, own]
+        seen = np.bincount((a != b).sum(axis=1), minlength=4)[:4] / 2000
+        assert np.abs(simhash.distances(both, own, 3) - seen).max() < 0.04
 
 
 def test_thresholds_and_bit_groups():
@@ -174,12 +265,21 @@ def test_bpe_equals_the_library(spark, which, request):
     assert key(bpe.round_trip_digests(table, path).collect()) == key(digests)
 
 
+def test_bpe_equals_the_library_on_characters_newer_than_python():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), bpe.Encoder(path)
+    for c in [*range(0x1C80, 0x1C90), *range(0xA7C0, 0xA7E0), *range(0x10D40, 0x10D90), *range(0x378, 0x380), 0x2FFF, 0xE0FFF, 0x10FFFF]:
+        text = f"a{chr(c)}b {chr(c)} 1{chr(c)}\u0301 x<|endoftext|>{chr(c)}"
+        assert own.encode(text) == library.encode(text, add_special_tokens=False).ids, hex(c)
+
+
 @pytest.mark.parametrize("which", ["docs", "odd"])
 def test_token_shards_round_trip(spark, which, request):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
     table = request.getfixturevalue(which)
-    rows = sorted(((r["doc_id"], r["text"]) for r in table.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
+    tie = {r["text"]: r["h"] for r in table.select("text", F.xxhash64("text").alias("h")).collect()}
+    rows = sorted(((r["doc_id"], r["text"]) for r in table.collect()), key=lambda r: (r[0] is not None, r[0] or 0, tie[r[1]], r[1] or ""))
     manifest, got = tokens.shard_documents(table, path, end_id=2, shard_tokens=5000, parts=3)
     at, want, every = 0, [], []
     for d, t in rows:
@@ -187,9 +287,7 @@ def test_token_shards_round_trip(spark, which, request):
         want.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
         every += [(d, i) for i in ids]
-    same = [w for w in want if [x[0] for x in rows].count(w[0]) == 1]
-    assert [tuple(r) for r in sorted(got.collect(), key=lambda r: r["start"]) if tuple(r) in same] == same
-    assert got.count() == len(rows)
+    assert [tuple(r) for r in sorted(got.collect(), key=lambda r: r["start"])] == want
     token = Counter(i for _, i in every).most_common(3)[-1][0]
     found = tokens.lookup(manifest, token).groupBy("id").agg(F.sum("n").alias("n")).collect()
     assert {r["id"]: r["n"] for r in found} == Counter(d for d, i in every if i == token)
@@ -198,8 +296,10 @@ def test_token_shards_round_trip(spark, which, request):
 def test_wavelet_matrix_answers():
     rng = np.random.default_rng(3)
     ids = rng.integers(0, 50, 20_000).astype(np.uint16)
-    matrix, docs, starts = tokens.unpack(tokens.pack(ids, [5, None, 7], np.array([0, 10, 20]), 16))
-    assert docs == [5, None, 7] and starts.tolist() == [0, 10, 20] and (matrix.all() == ids).all()
+    data = tokens.pack(ids, [5, None, 7], np.array([0, 10, 20]), 16)
+    shard = tokens.unpack(data)
+    matrix = shard.matrix
+    assert shard.docs == [5, None, 7] and shard.starts.tolist() == [0, 10, 20] and (matrix.all() == ids).all()
     for t in (0, 7, 49, 50, 70000):
         places = np.flatnonzero(ids == t)
         assert matrix.count(t) == len(places)
@@ -210,6 +310,18 @@ def test_wavelet_matrix_answers():
     assert empty.count(3) == 0 and empty.find(3, 0) == -1 and len(empty.all()) == 0
 
 
+def test_a_question_reads_only_what_it_touches():
+    ids = np.random.default_rng(8).integers(0, 50_000, 3_000_000).astype(np.uint16)
+    data = tokens.pack(ids, [1], np.array([0]), 16)
+    read = []
+    shard = tokens.Shard(lambda at, n: read.append(n) or data[at : at + n])
+    assert shard.matrix.access(2_345_678) == ids[2_345_678]
+    assert shard.matrix.count(int(ids[7]), 1_000_000) == int((ids[:1_000_000] == ids[7]).sum())
+    assert sum(read) < 0.6 * len(data)
+    before = sum(read)
+    assert shard.matrix.access(2_345_678) == ids[2_345_678] and sum(read) == before
+
+
 def base_spans(text):
     out = []
     for k, (kind, p) in enumerate((("assign", r"((?:[pP][aA][sS][sS][wW][oO][rR][dD])|(?:[pP][aA][sS][sS][wW][dD])|(?:[sS][eE][cC][rR][eE][tT])|(?:[tT][oO][kK][eE][nN])|(?:[aA][pP][iI]_?[kK][eE][yY]))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+"))):
@@ -247,6 +359,20 @@ def test_ownership_parts_copied_examples_from_live_ones(spark):
     assert dict(text.where("doc_id in (20, 3)").collect()) == {20: "my [SECRET] now [SECRET]", 3: f"see {copied} here"}
 
 
+def test_many_spans_in_one_text_take_linear_time(spark):
+    hex_ = "0123456789abcdef01234567"
+    opaque = "q9Zx7Lm2Pk4Vt8Rw1Ys5"
+    text = " ".join(f"{hex_} {opaque}{i:05d} token: {opaque}" for i in range(6000))
+    table = spark.createDataFrame([(1, text, "me"), (2, text[:200], "me")], "doc_id long, text string, source string")
+    began = time.perf_counter()
+    got = {r["id"]: r["spans"] for r in secrets.find_secrets(table).collect()}
+    assert time.perf_counter() - began < 60 and len(got[1]) == 18_000
+    assert [(x["kind"], x["start"], x["end"]) for x in got[1] if x["kind"] != "opaque"] == base_spans(text)
+    assert [(x["start"], x["end"]) for x in got[1] if x["kind"] == "opaque"] == [m.span(1) for m in re.finditer(rf"(?<= )({opaque}[0-9]{{5}})", text)]
+    masked = secrets.find_secrets(table, keep=("doc_id", "text")).select("doc_id", secrets.redact(F.col("text"), F.col("spans")).alias("t"))
+    assert dict(masked.collect())[1] == " ".join(["[SECRET] [SECRET] [SECRET]"] * 6000)
+
+
 @pytest.mark.parametrize("work", [
     lambda t: quality.statistics(t), lambda t: simhash.near_duplicates(t), lambda t: bpe.round_trip_digests(t, public_tokenizers.path("word_bpe_49k.json")),
     lambda t: secrets.find_secrets(t), lambda t: tokens.shard_documents(t, public_tokenizers.path("byte_bpe_50k.json"), 2)[1],
