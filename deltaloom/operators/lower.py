@@ -9,6 +9,8 @@ to Catalyst: filters reach the scans, columns are pruned, joins are ordered and
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,9 +18,11 @@ from pyspark.sql import functions as F
 from deltaloom.functions.kinds import Kind, canonical_order, column_of
 from deltaloom.plans.analyzer import All, Any_, Col, Edge, NullTest, Plan, Test, Truth
 from deltaloom.plans.errors import LimitExceeded
+from deltaloom.sources.folders import checkpointed
 
-#: Spark counts rows to skip and to take in 32 bits.
-MOST = (1 << 31) - 1
+#: Up to so many rows are skipped and taken by Spark's own top-k; it counts them in 32 bits, and gathers what it
+#: skips in one task.
+MOST = 1 << 20
 
 
 def name_of(c: Col) -> str:
@@ -71,14 +75,15 @@ def comparison(t: Test) -> Column:
     return out | c.isNull() if t.op[0] == "<" else c.isNotNull() & out
 
 
-def joined(plan: Plan, sources: Callable[[str], DataFrame], keep: tuple[str, ...] = (), shape: Callable[[DataFrame, int], DataFrame] = lambda rows, at: rows) -> DataFrame:
+def joined(plan: Plan, sources: Callable[[str], DataFrame] | list[Callable[[], DataFrame]], keep: tuple[str, ...] = (), shape: Callable[[DataFrame, int], DataFrame] = lambda rows, at: rows) -> DataFrame:
     """All relations joined and filtered, with every column, each relation as shape() returns it. Equalities of
     WHERE count as join conditions where nothing else links a relation, so no product is made where the
-    statement has an equality."""
+    statement has an equality. sources: by table, or for each relation what gives its rows."""
+    own = sources if isinstance(sources, list) else [partial(sources, t.name) for t in plan.relations]
     terms = list(plan.where.terms) if isinstance(plan.where, All) else [plan.where]
-    out = shape(relation(sources(plan.relations[0].name), plan, 0, keep), 0)
+    out = shape(relation(own[0](), plan, 0, keep), 0)
     for at in range(1, len(plan.relations)):
-        right = shape(relation(sources(plan.relations[at].name), plan, at, keep), at)
+        right = shape(relation(own[at](), plan, at, keep), at)
         links = [plan.edges[at - 1]] if plan.edges[at - 1] else []
         links += [t for t in terms if isinstance(t, Edge) and max(t.left.relation, t.right.relation) == at and t.left.relation != t.right.relation]
         terms = [t for t in terms if t not in links]
@@ -132,12 +137,32 @@ def order_keys(plan: Plan) -> list[Column]:
     return [col(c).desc() if down else col(c).asc() for c, down in plan.order] + canonical_keys(plan)
 
 
-def paged(rows: DataFrame, limit: int | None, offset: int | None) -> DataFrame:
-    if offset is not None and offset > MOST:
+def paged(rows: DataFrame, limit: int | None, offset: int | None, keys: list[Column] | None = None) -> DataFrame:
+    """Rows in the order of keys, without the first `offset`, at most `limit`; both are of any size. Short
+    windows are a top-k. For others the rows are sorted by ranges and written as they lie, and the counts of
+    the ranges tell which places of each belong to the window, so no task has more than a range."""
+    ordered = rows.orderBy(*keys) if keys else rows
+    skip = offset or 0
+    if limit is None and not skip:
+        return ordered
+    if limit is not None and skip + limit <= MOST:
+        return (ordered.offset(skip) if skip else ordered).limit(limit)
+    total = rows.count()
+    stop = total if limit is None else min(total, skip + limit)
+    if skip >= stop:
         return rows.limit(0)
-    if offset:
-        rows = rows.offset(offset)
-    return rows if limit is None else rows.limit(min(limit, MOST))
+    if not skip and stop == total:
+        return ordered
+    lain = checkpointed(ordered.withColumn("_place", F.monotonically_increasing_id()))
+    part, within = F.shiftright("_place", 33), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    at, spans = 0, []
+    for p, n in sorted((r["p"], r["n"]) for r in lain.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()):  # a row per range
+        if at < stop and skip < at + n:
+            spans.append((p, max(0, skip - at), min(n, stop - at)))
+        at += n
+    wanted = rows.sparkSession.createDataFrame(spans, "_p long, _low long, _high long")
+    window = lain.join(F.broadcast(wanted), part == F.col("_p")).where((within >= F.col("_low")) & (within < F.col("_high")))
+    return window.orderBy("_place").select(*rows.columns)
 
 
 def output(rows: DataFrame, plan: Plan, *more: Column) -> DataFrame:
@@ -156,13 +181,46 @@ def run(plan: Plan, sources: Callable[[str], DataFrame]) -> DataFrame:
     if plan.aggregate:
         return paged(aggregate(rows, plan), plan.limit, plan.offset)
     if plan.order or plan.limit is not None or plan.offset is not None:
-        rows = paged(rows.orderBy(*order_keys(plan)), plan.limit, plan.offset)
+        rows = paged(rows, plan.limit, plan.offset, order_keys(plan))
     return output(rows, plan)
 
 
-def bounded(result: DataFrame, rows: int = 100_000) -> list:
-    """A result for a host that limits it: over the limit is an error, never a shorter result."""
-    got = result.limit(rows + 1).collect()
+def bounded(result: DataFrame, rows: int = 100_000, size: int = 64 << 20) -> list:
+    """A result for a host that limits its rows and their bytes as JSON: over a limit is an error, never a
+    shorter result."""
+    some = result.limit(rows + 1)
+    check_size(some, rows, size, "result")
+    got = some.collect()
     if len(got) > rows:
         raise LimitExceeded(f"result exceeded {rows} rows")
     return got
+
+
+def check_size(result: DataFrame, rows: int, size: int, what: str) -> None:
+    """Raises where a result has more rows or bytes; no more rows than that are looked at."""
+    some = result.limit(rows + 1)
+    text = F.to_json(F.struct(*(F.col(f"`{c}`") for c in some.columns)), {"ignoreNullFields": "false"})
+    n, total = some.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    if n > rows:
+        raise LimitExceeded(f"{what} exceeded {rows} rows")
+    if total > size:
+        raise LimitExceeded(f"{what} exceeded {size} bytes")
+
+
+def check_work(plan: Plan, sources: Callable[[str], DataFrame], most: int) -> None:
+    """Raises where a join of more than two relations makes more rows on its way than `most`, all steps
+    together; no step is counted any further."""
+    done = 0
+    for n in range(2, len(plan.relations) + 1) if len(plan.relations) > 2 else ():
+        terms = plan.where.terms if isinstance(plan.where, All) else (plan.where,)
+        own = tuple(t for t in terms if not isinstance(t, (All, Any_, Truth)) and all(r < n for r in relations_of(t)))
+        part = replace(plan, relations=plan.relations[:n], edges=plan.edges[: n - 1], visible=plan.visible[:n], where=All(own) if own else Truth(True))
+        done += joined(part, sources).limit(most - done + 1).count()
+        if done > most:
+            raise LimitExceeded(f"a join of {len(plan.relations)} relations exceeded {most} rows of work")
+
+
+def relations_of(term: object) -> list[int]:
+    if isinstance(term, Edge):
+        return [term.left.relation, term.right.relation]
+    return [term.column.relation]

@@ -4,7 +4,6 @@ gives the same rows."""
 from __future__ import annotations
 
 import functools
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -14,8 +13,12 @@ from pyspark.sql import functions as F
 from deltaloom.functions.kinds import KINDS
 from deltaloom.operators import live, lower
 from deltaloom.plans.analyzer import Analyzer
+from deltaloom.plans.errors import ConstraintError, DialectError
 from deltaloom.plans.schema import Caller, Catalog, IndexDef, TableDef, columns
+from deltaloom.runtime import Module, Parameter, Runtime
+from deltaloom.sources.folders import shared_folder
 from deltaloom.sources.store import Store, scan_range, seek
+from deltaloom.streaming.views import Views
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -307,14 +310,19 @@ register("tx_net_effect", _net_effect, "SELECT event_id % 16 + 1 AS tx, event_id
 
 
 def _own_folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}" if shared else tempfile.mkdtemp(prefix="deltaloom-")
+    """A folder for one store, which is deleted when the application ends."""
+    name = f"{shared_folder(spark)}/deltaloom-store-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return name
 
 
 def _replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bulk inserts in three transactions, deletes, a snapshot, more changes; then the rows of a store that was
     opened anew."""
-    root = f"{_own_folder(spark)}/store-{uuid.uuid4().hex}"
+    root = _own_folder(spark)
     own = Catalog.of(TableDef("kept", columns(event_id="Int64 primary", user_id="Int64")))
     store = Store(spark, root, own)
     e = source(spark, sf_dir)("events").select("event_id", "user_id")
@@ -333,13 +341,246 @@ def _replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register("recover_replay", _replay, "SELECT event_id, user_id FROM events WHERE event_id <> 3")
 
+# --- transactions, run by the engine over whole tables
+
+PEOPLE = TableDef("people", columns(id="Int64 primary autoincrement", c_custkey="Int64", c_nationkey="Int32", c_acctbal="Float64"), (IndexDef("by_key", ("c_custkey",), True),), policy="public")
+TAGS = TableDef("tags", columns(o_custkey="Int64?", o_units="Uint32?"), policy="public")
+UNITS = TableDef("units", columns(o_orderkey="Int64 primary", o_units="Uint32?"), (IndexDef("by_units", ("o_units",), True),), policy="public")
+PINGS = TableDef("pings", columns(user_id="Int64", event_type="String"), event=True, policy="public")
+
+
+def _people(spark: SparkSession, sf_dir: str, more: str = "TRUE") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").where(more).selectExpr("0L AS id", "c_custkey", "c_nationkey", "c_acctbal")
+
+
+def _store(spark: SparkSession, *tables: TableDef) -> Store:
+    return Store(spark, _own_folder(spark), Catalog.of(*tables))
+
+
+def _refused(work: Callable[[], object]) -> bool:
+    try:
+        work()
+    except ConstraintError:
+        return True
+    return False
+
+
+def _sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence values of two bulk inserts: all numbers from one on, each once, in the order of transactions."""
+    store = _store(spark, PEOPLE)
+    for rest in (0, 1):
+        tx = store.begin()
+        tx.insert_many("people", _people(spark, sf_dir, f"c_custkey % 2 = {rest}"))
+        tx.commit()
+    return store.table("people").groupBy((F.col("c_custkey") % 2).alias("rest")).agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count_distinct("id").alias("n"))
+
+
+register("tx_sequence", _sequence, "WITH s AS (SELECT c_custkey % 2 AS rest, COUNT(*) AS n FROM customer GROUP BY 1) SELECT rest, CASE WHEN rest = 0 THEN 1 ELSE 1 + (SELECT n FROM s WHERE rest = 0) END AS low, CASE WHEN rest = 0 THEN n ELSE (SELECT SUM(n)::BIGINT FROM s) END AS high, n FROM s")
+
+
+def _updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An update of every customer of five nations, a delete of another's, and one update that is refused."""
+    store = _store(spark, PEOPLE)
+    tx = store.begin()
+    tx.insert_many("people", _people(spark, sf_dir))
+    tx.commit()
+    tx = store.begin()
+    tx.update_many("people", tx.rows("people").where("c_nationkey < 5").withColumn("c_acctbal", F.lit(0.5)))
+    tx.delete_many("people", tx.seek("people", c_nationkey=9))
+    if not _refused(lambda: tx.update_many("people", tx.seek("people", c_nationkey=8).withColumn("c_custkey", F.lit(-1)))):
+        raise AssertionError("equal keys were taken")
+    tx.commit()
+    return store.table("people").select("c_custkey", "c_nationkey", "c_acctbal")
+
+
+register("tx_update", _updated, "SELECT c_custkey, c_nationkey, CASE WHEN c_nationkey < 5 THEN 0.5 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_nationkey <> 9")
+
+
+def _undeleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a nation's customers that are deleted and partly given again, alike or changed, the net changes."""
+    store = _store(spark, PEOPLE)
+    tx = store.begin()
+    tx.insert_many("people", _people(spark, sf_dir))
+    tx.commit()
+    tx = store.begin()
+    rows = tx.seek("people", c_nationkey=3)
+    tx.delete_many("people", rows)
+    given = rows.where("c_custkey % 3 <> 0").withColumn("c_acctbal", F.expr("CASE WHEN c_custkey % 3 = 1 THEN c_acctbal ELSE -1.0D END"))
+    tx.insert_many("people", store.rows("people").join(given.select("_rid", F.col("c_acctbal").alias("b")), "_rid").withColumn("c_acctbal", F.col("b")).drop("_rid", "b"))
+    tx.commit()
+    return store.changes("people", 1).select("c_custkey", "c_acctbal", F.col("_w").cast("long").alias("w"))
+
+
+register("tx_undelete", _undeleted, "SELECT c_custkey, c_acctbal, CAST(-1 AS BIGINT) AS w FROM customer WHERE c_nationkey = 3 AND c_custkey % 3 <> 1 UNION ALL SELECT c_custkey, -1.0::DOUBLE, CAST(1 AS BIGINT) FROM customer WHERE c_nationkey = 3 AND c_custkey % 3 = 2")
+
 
 def _violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys, nulls among them, that a unique index would refuse."""
-    return source(spark, sf_dir)("orders_n").groupBy("o_units").agg(F.count("*").alias("n")).where("n > 1")
+    """Keys, nulls among them, that a unique index refuses, by the check that transactions make."""
+    store = _store(spark, UNITS)
+    tx = store.begin()
+    rows = source(spark, sf_dir)("orders_n").select("o_orderkey", "o_units")
+    if not _refused(lambda: tx.insert_many("units", rows)):
+        raise AssertionError("equal keys were taken")
+    return tx.refused("units", rows, ("o_units",)).select(F.col("o_units").cast("bigint").alias("o_units"), "n")
 
 
-register("tx_unique", _violations, with_tables("SELECT o_units, COUNT(*) AS n FROM orders_n GROUP BY o_units HAVING COUNT(*) > 1", "orders_n"))
+register("tx_unique", _violations, with_tables("SELECT CAST(o_units AS BIGINT) AS o_units, COUNT(*) AS n FROM orders_n GROUP BY o_units HAVING COUNT(*) > 1", "orders_n"))
+
+
+def _set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table without a key is a set: different rows are taken, and none of them again."""
+    store = _store(spark, TAGS)
+    rows = source(spark, sf_dir)("orders_n").select("o_custkey", "o_units")
+    tx = store.begin()
+    if not _refused(lambda: tx.insert_many("tags", rows)):
+        raise AssertionError("equal rows were taken")
+    tx.insert_many("tags", rows.distinct())
+    tx.commit()
+    if not _refused(lambda: store.begin().insert_many("tags", rows.distinct().limit(1))):
+        raise AssertionError("a row was taken again")
+    return store.table("tags").select("o_custkey", F.col("o_units").cast("bigint").alias("o_units"))
+
+
+register("tx_set", _set, with_tables("SELECT DISTINCT o_custkey, CAST(o_units AS BIGINT) AS o_units FROM orders_n", "orders_n"))
+
+
+def _event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of an event table, equal ones among them: in the changes of their transaction, never in the table."""
+    store = _store(spark, PINGS)
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type")
+    for rest in (0, 1):
+        tx = store.begin()
+        tx.insert_many("pings", rows.where(f"user_id % 2 = {rest}").distinct())
+        tx.commit()
+    there = store.table("pings").select("user_id", "event_type", F.lit(0).cast("long").alias("tx"))
+    return store.changes("pings").select("user_id", "event_type", F.col("_tx").alias("tx")).unionByName(there)
+
+
+register("tx_event", _event_rows, "SELECT DISTINCT user_id, event_type, user_id % 2 + 1 AS tx FROM events")
+
+
+def _crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three writers that began at one version: the first commits, the second has a key of it and is refused,
+    the third is numbered anew. n_ids and n_rids show that nothing stands twice."""
+    store = _store(spark, PEOPLE)
+    writers = [store.begin() for _ in range(3)]
+    for tx, part in zip(writers, ("c_nationkey < 10", "c_nationkey between 9 and 12", "c_nationkey > 15"), strict=True):
+        tx.insert_many("people", _people(spark, sf_dir, part))
+    writers[0].commit()
+    if not _refused(writers[1].commit):
+        raise AssertionError("equal keys were committed")
+    writers[1].rollback()
+    writers[2].commit()
+    return store.rows("people").agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_ids"), F.count_distinct("_rid").alias("n_rids"), F.count_distinct("c_custkey").alias("n_keys"))
+
+
+register("tx_bulk_conflict", _crossing, "SELECT COUNT(*) AS n, COUNT(*) AS n_ids, COUNT(*) AS n_rids, COUNT(*) AS n_keys FROM customer WHERE c_nationkey < 10 OR c_nationkey > 15")
+
+
+def _transaction_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a transaction sees before it commits: the committed rows without the deleted, with the inserted ones,
+    through an index seek and a range scan; and the table after it is rolled back."""
+    store = _store(spark, PEOPLE)
+    tx = store.begin()
+    tx.insert_many("people", _people(spark, sf_dir, "c_nationkey <> 4"))
+    tx.commit()
+    tx = store.begin()
+    tx.delete_many("people", tx.seek("people", c_nationkey=7))
+    tx.insert_many("people", _people(spark, sf_dir, "c_nationkey = 4"))
+    seen = tx.scan_range("people", ["c_custkey"], (100,), (900,)).unionByName(tx.seek("people", c_nationkey=4).where("c_custkey > 900"))
+    kept = seen.select("c_custkey", F.lit("seen").alias("at")).checkpoint()
+    tx.rollback()
+    return kept.unionByName(store.seek("people", c_nationkey=7).select("c_custkey", F.lit("after").alias("at")))
+
+
+register("tx_view", _transaction_view, "SELECT c_custkey, 'seen' AS at FROM customer WHERE c_nationkey <> 7 AND c_custkey BETWEEN 100 AND 900 OR c_nationkey = 4 AND c_custkey > 900 UNION ALL SELECT c_custkey, 'after' FROM customer WHERE c_nationkey = 7")
+
+# --- views over a store, and reads through the runtime
+
+
+def _after_snapshot(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """A subscription's changes over a delete, a snapshot, a compaction, more changes and a new process."""
+    root, own = _own_folder(spark), Catalog.of(PEOPLE)
+    store = Store(spark, root, own)
+    tx = store.begin()
+    tx.insert_many("people", _people(spark, sf_dir, "c_custkey % 4 <> 0"))
+    tx.commit()
+    plan = Analyzer(own, None, "declared_view").plan(text)
+    Views(store).subscribe("one", "s", [plan])
+    tx = store.begin()
+    tx.delete_many("people", tx.rows("people").where("c_custkey % 4 = 1"))
+    tx.commit()
+    store.snapshot()
+    store.compact()
+    tx = store.begin()
+    tx.insert_many("people", _people(spark, sf_dir, "c_custkey % 4 = 0"))
+    tx.commit()
+    later = Views(Store(spark, root, own))
+    later.store.snapshot()
+    later.store.compact()
+    return later.pending()[plan.key()].withColumnsRenamed({"_tx": "tx", "_op": "op", "_n": "n"})
+
+
+register("live_after_snapshot", lambda s, d: _after_snapshot(s, d, "SELECT c_custkey, c_nationkey FROM people"),
+         "SELECT CAST(2 AS BIGINT) AS tx, 'delete' AS op, CAST(1 AS BIGINT) AS n, c_custkey, c_nationkey FROM customer WHERE c_custkey % 4 = 1 UNION ALL SELECT CAST(3 AS BIGINT), 'insert', CAST(1 AS BIGINT), c_custkey, c_nationkey FROM customer WHERE c_custkey % 4 = 0")
+register("live_after_snapshot_count", lambda s, d: _after_snapshot(s, d, "SELECT COUNT(*) AS k FROM people"),
+         "WITH c AS (SELECT COUNT(*) FILTER (c_custkey % 4 <> 0) AS a, COUNT(*) FILTER (c_custkey % 4 > 1) AS b, COUNT(*) FILTER (c_custkey % 4 <> 1) AS e FROM customer) SELECT CAST(2 AS BIGINT) AS tx, 'delete' AS op, CAST(1 AS BIGINT) AS n, a AS k FROM c UNION ALL SELECT CAST(2 AS BIGINT), 'insert', CAST(1 AS BIGINT), b FROM c UNION ALL SELECT CAST(3 AS BIGINT), 'delete', CAST(1 AS BIGINT), b FROM c UNION ALL SELECT CAST(3 AS BIGINT), 'insert', CAST(1 AS BIGINT), e FROM c")
+register("live_since_join", lambda s, d: live.deltas(Analyzer(catalog(), None, "declared_view").plan("SELECT e.* FROM ev e JOIN usr u ON e.user_id = u.c_custkey"), histories(s, d), 16).withColumnsRenamed({"_tx": "tx", "_op": "op", "_n": "n"}),
+         _difference(_states("e.event_id, e.user_id, e.event_type, CAST(e.amount AS BIGINT) AS amount", [("ev", "e"), ("usr", "u")], "e.user_id = u.c_custkey"), ["event_id", "user_id", "event_type", "amount"], ["ev", "usr"]).replace("WHERE tx > 0", "WHERE tx > 16"))
+register("live_event_count", delta("SELECT COUNT(*) AS x FROM ping WHERE event_type = 'click'"),
+         "WITH c AS (SELECT event_id % 16 + 1 AS tx, COUNT(*) AS k FROM events WHERE event_type = 'click' GROUP BY 1) SELECT tx, 'insert' AS op, CAST(1 AS BIGINT) AS n, k AS x FROM c UNION ALL SELECT tx, 'delete', CAST(1 AS BIGINT), CAST(0 AS BIGINT) FROM c")
+
+
+def _fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two subscribers of one view in different words, three subscriptions, one computation; and another view."""
+    own = Catalog.of(PEOPLE)
+    store = Store(spark, _own_folder(spark), own)
+    views = Views(store)
+    plan = lambda text: Analyzer(own, None, "declared_view").plan(text)
+    views.subscribe("one", "s1", [plan("SELECT * FROM people")])
+    views.subscribe("two", "s2", [plan("select people.* from people"), plan("SELECT c_custkey FROM people WHERE c_nationkey = 2")])
+    views.subscribe("two", "s3", [plan("SELECT * FROM people")])
+    tx = store.begin()
+    tx.insert_many("people", _people(spark, sf_dir))
+    tx.commit()
+    rows = views.fan_out(views.pending())
+    return rows.groupBy("subscriber", "subscription", "view").agg(F.sum("_n").alias("n"), F.count_distinct("row").alias("rows")).drop("view")
+
+
+register("live_fan_out", _fan_out, "SELECT s.a AS subscriber, s.b AS subscription, COUNT(*) AS n, COUNT(*) AS rows FROM customer, (VALUES ('one', 's1'), ('two', 's2'), ('two', 's3')) AS s(a, b) GROUP BY s.a, s.b UNION ALL SELECT 'two', 's2', COUNT(*), COUNT(*) FROM customer WHERE c_nationkey = 2")
+
+
+def _runtime(spark: SparkSession, sf_dir: str) -> Runtime:
+    hidden = TableDef("hidden", columns(id="Int64 primary"))
+    staff = TableDef("staff", columns(id="Int64 primary"), policy="permissioned", permissions=("staff",))
+    module = Module(Catalog.of(PEOPLE, hidden, staff))
+    module.read("of_nation", "SELECT c_custkey, c_acctbal FROM people WHERE c_nationkey = :nation", (Parameter("nation", KINDS["Int32"]),))
+    module.read("rich", "SELECT c_custkey, c_nationkey FROM people WHERE c_acctbal > :least", (Parameter("least", KINDS["Float64"]),), live=True)
+    runtime = Runtime(spark, _own_folder(spark), module)
+    tx = runtime.store.begin()
+    tx.insert_many("people", _people(spark, sf_dir))
+    tx.commit()
+    return runtime
+
+
+register("sec_declared_query", lambda s, d: _runtime(s, d).call_query("of_nation", nation=11), "SELECT c_custkey, c_acctbal FROM customer WHERE c_nationkey = 11")
+register("sec_declared_view", lambda s, d: _runtime(s, d).subscribe_view("rich", "me", "s", least=5000.0).select(F.col("_op").alias("op"), F.col("_n").alias("n"), "c_custkey", "c_nationkey"), "SELECT 'insert' AS op, CAST(1 AS BIGINT) AS n, c_custkey, c_nationkey FROM customer WHERE c_acctbal > 5000")
+
+
+def _policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which tables raw SQL of three callers can read, and how many rows it then counts."""
+    runtime = _runtime(spark, sf_dir)
+    out = []
+    for who, caller in (("anyone", Caller()), ("staff", Caller(permissions=frozenset({"staff"}))), ("host", Caller(allow_all=True))):
+        for table in ("people", "hidden", "staff", "nowhere"):
+            try:
+                out.append(runtime.query(f"SELECT COUNT(*) AS n FROM {table}", caller).select(F.lit(who).alias("who"), F.lit(table).alias("name"), "n"))
+            except DialectError:
+                out.append(spark.range(1).select(F.lit(who).alias("who"), F.lit(table).alias("name"), F.lit(None).cast("long").alias("n")))
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+register("sec_policies", _policies, "WITH c AS (SELECT COUNT(*) AS n FROM customer) SELECT who, name, CASE WHEN name = 'people' THEN n WHEN name = 'staff' AND who <> 'anyone' OR name = 'hidden' AND who = 'host' THEN 0 END AS n FROM c, (VALUES ('anyone'), ('staff'), ('host')) AS w(who), (VALUES ('people'), ('hidden'), ('staff'), ('nowhere')) AS t(name)")
 
 FLAGSHIP = "SELECT o.o_orderkey, c.c_name, o.o_totalprice FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_mktsegment = 'BUILDING' ORDER BY o.o_totalprice DESC LIMIT 100"
 

@@ -2,19 +2,25 @@
 
 Views with the same canonical plan are one computation with many subscribers. Each batch takes the
 transactions after the last one delivered, evaluates every view that their rows can matter to, and writes
-signed rows keyed by (view, transaction); a batch that is run again overwrites its own rows. A view that
-fails reports its error and is dropped; the others go on.
+signed rows keyed by (view, transaction). A view moves on only after its rows are written. The registry - plans,
+subscribers, how far each view is, and the range of the batch under way - is kept in the store's folder, so a
+batch that is run again, by the same process or a later one, covers the same transactions and overwrites its
+own rows. A view that fails, when planned or when run, reports its error and is dropped; the others go on.
 """
 
 from __future__ import annotations
 
+import base64
+import json
+import pickle
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaloom.functions.kinds import column_of
-from deltaloom.operators import live
+from deltaloom.operators import live, lower
 from deltaloom.plans.analyzer import Plan
 from deltaloom.plans.errors import LimitExceeded
 from deltaloom.sources.store import Store
@@ -25,11 +31,14 @@ class View:
     plan: Plan
     since: int
     subscribers: dict[str, list[str]] = field(default_factory=dict)  # subscriber -> its subscription ids
+    base: tuple | None = None  # an aggregate's sum and number of values as of `since`, where they are known
 
 
 @dataclass(frozen=True)
 class Limits:
     rows: int = 100_000
+    bytes: int = 64 << 20
+    work: int = 1_000_000
     queries_per_set: int = 256
     subscriptions: int = 4096
     relations: int = 8
@@ -40,23 +49,40 @@ class Views:
         self.store, self.limits = store, limits
         self.views: dict[str, View] = {}
         self.errors: list[tuple[str, str, str]] = []  # (subscriber, subscription, text)
+        self.batch: dict | None = None  # number, upto and where each view was, of the batch under way or done last
+        if store.files.exists("views.json"):
+            held = json.loads(store.files.read("views.json"))
+            self.batch = held["batch"]
+            for v in held["views"]:
+                plan = pickle.loads(base64.b64decode(v["plan"]))
+                self.views[plan.key()] = View(plan, v["since"], v["subscribers"])
+        store.readers.append(lambda: min([v.since for v in self.views.values()] + list((self.batch or {}).get("since", {}).values()), default=store.version))
+
+    def _keep(self) -> None:
+        """Writes the registry over the one that is there. Values that aggregates begin from are not kept: a
+        process that starts makes them anew."""
+        views = [{"plan": base64.b64encode(pickle.dumps(v.plan)).decode(), "since": v.since, "subscribers": v.subscribers} for v in self.views.values()]
+        self.store.files.replace("views.json", json.dumps({"views": views, "batch": self.batch}))
 
     def subscribe(self, subscriber: str, subscription: str, plans: list[Plan]) -> dict[str, DataFrame]:
         """All or none of the plans; each view's rows as of now, as inserts, by the view's key."""
         if len(plans) > self.limits.queries_per_set or sum(len(v.subscribers.get(subscriber, ())) for v in self.views.values()) + len(plans) > self.limits.subscriptions:
             raise LimitExceeded("too many queries")
+        at, out = self.store.version, {}
         for p in plans:
             if len(p.relations) > self.limits.relations:
                 raise LimitExceeded("too many relations in a live join")
-        at, out = self.store.version, {}
-        for p in plans:
+            lower.check_work(p, lambda name: self.store.table(name, at), self.limits.work)
             first = live.snapshot(p, self.histories(), at)
-            if first.limit(self.limits.rows + 1).count() > self.limits.rows:
-                raise LimitExceeded(f"snapshot exceeded {self.limits.rows} rows")
+            lower.check_size(first, self.limits.rows, self.limits.bytes, "snapshot")
             out[p.key()] = first
         for p in plans:
+            view = self.views.get(p.key())
+            if view is not None and view.since < at:  # its subscribers are behind: they and the new one must not mix
+                raise LimitExceeded("the view has changes that are not delivered yet")
             view = self.views.setdefault(p.key(), View(p, at))
             view.subscribers.setdefault(subscriber, []).append(subscription)
+        self._keep()
         return out
 
     def unsubscribe(self, subscriber: str, subscription: str) -> dict[str, DataFrame]:
@@ -71,6 +97,7 @@ class Views:
                     del view.subscribers[subscriber]
                 if not view.subscribers:
                     del self.views[key]
+        self._keep()
         return out
 
     def drop(self, subscriber: str) -> None:
@@ -78,6 +105,7 @@ class Views:
             view.subscribers.pop(subscriber, None)
             if not view.subscribers:
                 del self.views[key]
+        self._keep()
 
     def histories(self, upto: int | None = None) -> live.Histories:
         return lambda name: self.store.history(name, upto)
@@ -100,27 +128,75 @@ class Views:
                     out |= {v for (v, _), hit in zip(own, got, strict=True) if hit}
         return out
 
-    def advance(self, upto: int | None = None) -> dict[str, DataFrame]:
-        """(_tx, _op, _n, columns) of each view from the transactions it has not delivered."""
+    def pending(self, upto: int | None = None, since: dict[str, int] | None = None) -> dict[str, DataFrame]:
+        """(_tx, _op, _n, columns) of each view from the transactions it has not delivered, up to one. Nothing
+        moves on. since: where each view begins, instead of where it is."""
         upto = self.store.version if upto is None else upto
-        since = min((v.since for v in self.views.values()), default=upto)
-        if since >= upto:
+        places = {k: (since or {}).get(k, v.since) for k, v in self.views.items()}
+        first = min(places.values(), default=upto)
+        if first >= upto:
             return {}
-        concerned, out = self._concerned(since, upto), {}
+        concerned, out = self._concerned(first, upto), {}
         for key, view in list(self.views.items()):
-            if key in concerned and view.since < upto:
+            if key in concerned and places[key] < upto:
                 try:
-                    out[key] = live.deltas(view.plan, self.histories(upto), view.since)
+                    base = view.base if places[key] == view.since else None
+                    out[key] = live.deltas(view.plan, None, places[key], self.store.parts(places[key], upto), base)
                     out[key].schema  # noqa: B018  analysis errors show here
                 except Exception as e:  # noqa: BLE001
                     self.fail(key, e)
-                    continue
-            view.since = upto
         return out
 
+    def advance(self, upto: int | None = None) -> dict[str, DataFrame]:
+        """pending(), and the views move on: for a caller that can't lose what it is given."""
+        upto = self.store.version if upto is None else upto
+        out = self.pending(upto)
+        self._move(upto, set(out))
+        return out
+
+    def _move(self, upto: int, changed: set[str]) -> None:
+        for key, view in self.views.items():
+            if view.since < upto:
+                if view.plan.aggregate and key in changed:
+                    view.base = live.moved_base(view.plan, self.store.parts(view.since, upto), view.since, view.base)
+                view.since = upto
+        self._keep()
+
+    def deliver(self, number: int, upto: int, write: Callable[[DataFrame | None], None]) -> None:
+        """Writes what the views gained up to a transaction as batch `number`, then moves them on. A batch that
+        is run again begins and ends where it did the first time."""
+        if self.batch and self.batch["number"] == number:
+            upto = self.batch["upto"]
+        else:
+            self.batch = {"number": number, "upto": upto, "since": {k: v.since for k, v in self.views.items()}}
+            self._keep()
+        self.store.refresh(upto)
+        places = self.batch["since"]
+        while True:
+            out = {k: d for k, d in self.pending(upto, places).items() if k in places}
+            try:
+                write(self.fan_out(out))
+                break
+            except Exception as e:
+                if not self._drop_failing(out):
+                    raise e  # it is the sink that fails
+        self._move(upto, set(out))
+
+    def _drop_failing(self, deltas: dict[str, DataFrame]) -> bool:
+        """Runs each view by itself; those that fail report their errors and go."""
+        found = False
+        for key, d in deltas.items():
+            try:
+                d.write.format("noop").mode("overwrite").save()
+            except Exception as e:  # noqa: BLE001
+                self.fail(key, e)
+                found = True
+        return found
+
     def fail(self, key: str, error: Exception) -> None:
         for subscriber, ids in self.views.pop(key).subscribers.items():
             self.errors += [(subscriber, i, str(error)) for i in ids]
+        self._keep()
 
     def fan_out(self, deltas: dict[str, DataFrame]) -> DataFrame | None:
         """(subscriber, subscription, view, _tx, _op, _n, row) of all views, a row as JSON, in the order of
@@ -146,9 +222,6 @@ def stream(spark: SparkSession, views: Views, sink: str, checkpoint: str, **trig
         upto = batch.agg(F.max("tx")).first()[0]
         if upto is None:
             return
-        views.store.refresh(upto)
-        out = views.fan_out(views.advance(upto))
-        if out is not None:
-            out.write.mode("overwrite").parquet(f"{sink}/batch={number:010d}")
+        views.deliver(number, upto, lambda rows: rows is None or rows.write.mode("overwrite").parquet(f"{sink}/batch={number:010d}"))
 
     return manifests.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -111,8 +111,19 @@ def test_deltas_take_every_version_to_the_next(spark, sql):
             assert got.get(tx, {}).get("insert", Counter()) == after - before, (sql, tx)
             assert got.get(tx, {}).get("delete", Counter()) == before - after, (sql, tx)
             before = after
-    later = live.deltas(plan, frames(spark, changes), since=6).collect()
-    assert sum(r["_n"] for r in later) == sum(sum(c.values()) for t, ops in got.items() if t > 6 for c in ops.values())
+    for since in (1, 6, TXS - 1, TXS):
+        later = {}
+        for r in live.deltas(plan, frames(spark, changes), since=since).collect():
+            later.setdefault(r["_tx"], {}).setdefault(r["_op"], Counter())[tuple(r)[3:]] += r["_n"]
+        assert later == {tx: ops for tx, ops in got.items() if tx > since}, since
+    if plan.aggregate:  # a value carried from batch to batch is the value as of then
+        base, histories = None, frames(spark, changes)
+        for since, upto in ((0, 4), (4, 7)):
+            cut = {t: [r for r in rows if r[-2] <= upto] for t, rows in changes.items()}
+            base = live.moved_base(plan, live.parts_of(frames(spark, cut), since), since, base)
+        assert tuple(map(float, base)) == tuple(map(float, live.value_at(plan, live.parts_of(frames(spark, cut), 7), 7).first()))
+        carried = Counter(map(tuple, live.deltas(plan, histories, 7, base=base).collect()))
+        assert carried == Counter(map(tuple, live.deltas(plan, histories, 7).collect()))
 
 
 def test_event_rows_come_and_never_go(spark):
@@ -134,6 +145,16 @@ def test_an_aggregate_of_events_moves_from_its_value_without_them(spark):
         assert (got.get((tx, "delete")), got.get((tx, "insert"))) == ((0, n) if n else (None, None))
 
 
+def test_a_batch_joins_what_changed_with_the_rest(spark):
+    n = 4000
+    made = spark.range(n).selectExpr("id", "id % 500 AS k", "id AS v", "id % 40 + 1 AS _from", "CASE WHEN id % 100 = 0 THEN 41L ELSE 9223372036854775807L END AS _to")
+    plan = Analyzer(CATALOG, None, "declared_view").plan("SELECT x.id, x.v FROM a x JOIN a y ON x.k = y.k")
+    rows = live.changes_after(plan, live.parts_of(lambda name: made, 39), 39)
+    assert 0 < rows.count() < n  # of 8 n pairs
+    branches = rows._jdf.queryExecution().optimizedPlan().toString().count("Join Inner")
+    assert branches == 2
+
+
 def test_snapshots_and_deltas_meet(spark):
     changes = random_changes(5)
     plan = Analyzer(CATALOG, None, "declared_view").plan("SELECT a.* FROM a JOIN b ON a.k = b.k")
