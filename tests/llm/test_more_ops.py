@@ -562,6 +562,18 @@ def test_pipeline_stages_equal_brute_force(spark, sf_dir, docs):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf_dir).collect()} <= clean - leaked
 
 
+def test_stages_of_empty_tables(spark, sf_dir, docs):
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), sf_dir).collect() == []
+
+
+def test_texts_of_any_length_and_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "word " * 400_000), (1, "word " * 400_000), (2, None)], "doc_id long, text string").withColumns({"score": F.lit(1), "fp": F.lit("x"), "point": F.lit("y"), "root": F.lit(2)})
+    score = toxicity.scorer(spark, toxicity.Machine(16, 0.0, np.ones(16, np.float32), np.zeros((16, 2), np.float32)))
+    assert len({r["s"] for r in docs.where("doc_id = 1").select(score(F.col("text")).alias("s")).collect()}) == 1
+    assert sorted(r["doc_id"] for r in simhash.representatives(docs, bound=11, check=(5, 14)).collect()) == [1, 2]
+
+
 def test_one_row_of_each_group_stays(spark):
     long = " ".join(f"word{i}" for i in range(80))
     rows = [(7, long), (4, long), (4, long), (4, "other text"), (None, long), (None, "no id, no copies"), (None, "no id, no copies"), (9, None), (8, "")]

@@ -82,6 +82,27 @@ def test_quality_query_keeps_base_rules(spark, sf_dir):
         assert not (r["base_failed"] and r["kept"])
 
 
+def test_kept_equals_the_rules_applied_by_hand(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    names = list(quality.features())
+    rows = quality.judge(docs, labels).withColumns(quality.features()).collect()
+    held = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    rules = [[part.split(" ") for part in line.removeprefix("reject if ").split(" and ")] for line in rows[0]["rules"].split("\n") if line != "keep"]
+    assert rules and all(f in names for rule in rules for f, _, _ in rule) and len({r["rules"] for r in rows}) == 1
+    for r in rows:
+        bad = any(all((r[f] > float(e)) if op == ">" else (r[f] <= float(e)) for f, op, e in rule) for rule in rules)
+        near = any(abs(r[f] - float(e)) <= 1e-6 * abs(float(e)) for rule in rules for f, _, e in rule)  # edges are shown rounded
+        assert near or r["kept"] == (not bad), r
+    agree = [r["kept"] == bool(held[r["id"]]) for r in rows if r["id"] in held]
+    assert sum(agree) / len(agree) > 0.9
+
+
+def test_quality_of_empty_tables(odd, spark):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.judge(odd.where("false"), none).collect() == []
+    assert {r["kept"] for r in quality.judge(odd, none).collect()} == {True}
+
+
 def slow_fingerprint(text):
     words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
