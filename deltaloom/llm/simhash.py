@@ -18,6 +18,12 @@ A point may carry a second fingerprint, of longer shingles. It is not probed, bu
 of its own: at many bits the first alone would link texts that have little in common. An expected share of
 acos(2s / (1 + s)) / pi of its bits differ between texts of which a share s of the shingles is common (Jaccard).
 
+With a similarity, fingerprints only find candidates. The groups they link are taken apart again by the exact
+similarity (Jaccard) of the texts' shingle sets: two texts are linked if their fingerprints are within the bounds
+and a share of at least `similarity` of their shingles is common. One text stands for each fingerprint, so copies
+cost nothing here either; groups of more than `tile` texts are dealt in blocks, a pair of blocks to a task, and
+texts that a task has already joined are not compared again.
+
 Defined results: null or wordless texts have fingerprint 0 and link like any other; texts of fewer words
 than a shingle are one shingle; repeated rows stay rows; null ids stay null and never name a component that
 has another id; an empty table gives an empty result; other columns, whatever their names, are not read.
@@ -279,22 +285,8 @@ def _verify(rows: DataFrame, bound: int, check: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        n = 0
-        for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n < 1 << 19:
-                continue
-            now = pa.Table.from_batches(held)
-            same = np.ones(n, bool)  # the last bucket may go on in the next batch
-            for c in BUCKET:
-                same &= now.column(c).to_numpy() == now.column(c)[n - 1].as_py()
-            cut = n - int(same[::-1].argmin() if not same.all() else n)
-            yield from links(now.slice(0, cut))
-            held, n = now.slice(cut).to_batches(), n - cut
-        if held:
-            yield from links(pa.Table.from_batches(held))
+        for table in _whole_groups(batches, BUCKET, 1 << 19):
+            yield from links(table)
 
     return rows.mapInArrow(run, "u long, v long")
 
@@ -325,14 +317,95 @@ def point_of() -> Column:
     return F.when(F.col("fp2") == 0, F.col("fp")).otherwise(F.xxhash64("fp", "fp2"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bound: int = 3, tile: int = 4096, check: tuple[int, int] | None = None) -> DataFrame:
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The different hashes of a text's shingles, ascending."""
+    own = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    runs = [own] if 0 < len(own) < words else zip(*(own[i:] for i in range(words)), strict=False)
+    return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(b" ".join(t), 42) for t in runs]), np.int64))
+
+
+def similar_links(texts: DataFrame, words: int, similarity: float, bound: int, check: int, tile: int = 1024) -> DataFrame:
+    """(u, v) between the points of each group whose texts are alike: texts has (root, point, fp, fp2, text), a
+    row per point, root naming the group."""
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = pa.array([shingle_set(t, words) for t in batch.column(4).to_pylist()], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), sets], ["root", "point", "fp", "fp2", "shingles"])
+
+    cut_up = stash(map_rows(texts.select("root", "point", "fp", "fp2", "text"), cut, "root long, point long, fp long, fp2 long, shingles array<long>", 256), "shingles")
+    blocks = F.ceil(F.col("n") / tile).cast("int")
+    sizes = cut_up.groupBy("root").agg(F.count("*").alias("n"))
+    rows = cut_up.join(sizes, "root").where("n > 1").withColumn("own", F.pmod(F.xxhash64("point"), blocks).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "point", "fp", "fp2", "shingles")
+    own_key = ("root", "lo", "hi")
+
+    def links(table: pa.Table) -> pa.RecordBatch:
+        key = [table.column(c).to_numpy() for c in own_key]
+        point, fps, seconds = (table.column(c).to_numpy() for c in ("point", "fp", "fp2"))
+        sets = [x.values.to_numpy() for c in table.column("shingles").chunks for x in c]
+        new = np.ones(len(point), bool)
+        new[1:] = np.any([k[1:] != k[:-1] for k in key], axis=0)
+        begin = np.append(np.flatnonzero(new), len(point))
+        found = []
+        for lo, hi in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+            parent = np.arange(lo, hi)  # of each row, the least row it is joined with
+            for i in range(lo, hi - 1):
+                near = (np.bitwise_count(fps[i + 1 : hi].view(np.uint64) ^ fps[i].view(np.uint64)) <= bound) & (np.bitwise_count(seconds[i + 1 : hi].view(np.uint64) ^ seconds[i].view(np.uint64)) <= check)
+                near &= parent[i + 1 - lo :] != parent[i - lo]  # the others are joined already
+                for j in (np.flatnonzero(near) + i + 1).tolist():
+                    a, b = parent[i - lo], parent[j - lo]
+                    if a == b or min(len(sets[i]), len(sets[j])) < similarity * max(len(sets[i]), len(sets[j])):
+                        continue
+                    common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if common and common >= similarity * (len(sets[i]) + len(sets[j]) - common):
+                        parent[parent == max(a, b)] = min(a, b)
+                        found.append((point[i], point[j]))
+        u, v = zip(*found, strict=True) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from (links(t) for t in _whole_groups(batches, own_key, 1 << 11))
+
+    return rows.repartition(*own_key).sortWithinPartitions(*own_key).mapInArrow(run, "u long, v long")
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], key: tuple[str, ...], least: int) -> Iterator[pa.Table]:
+    """Tables of about `least` rows or more of rows sorted by a key, each with all rows of its keys."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n < least:
+            continue
+        now = pa.Table.from_batches(held)
+        same = np.ones(n, bool)  # the last group may go on in the next batch
+        for c in key:
+            same &= now.column(c).to_numpy() == now.column(c)[n - 1].as_py()
+        cut = n - int(same[::-1].argmin() if not same.all() else n)
+        if cut:
+            yield now.slice(0, cut).combine_chunks()
+        held, n = now.slice(cut).to_batches(), n - cut
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bound: int = 3, tile: int = 4096, check: tuple[int, int] | None = None, similarity: float | None = None) -> DataFrame:
     """(id, tag, fp, component, root): component is the least id among all rows reachable over links, root
     tells components apart even where ids repeat. check: words of the shingles of a second fingerprint, and
-    its bound."""
+    its bound; similarity: that of the sets of such shingles which linked texts have at least."""
     words, second = check or (None, BITS)
     rows = stash(fingerprints(docs, id_col, text_col, shingle, words).withColumn("point", point_of()), "fingerprints")
-    points = stash(rows.groupBy("point", "fp", "fp2").agg(F.min("id").alias("first")), "points")
+    points = stash(rows.groupBy("point", "fp", "fp2").agg(F.min("id").alias("first"), F.min(F.struct(F.col("id").isNull(), "id", "tag")).alias("one")), "points")
     roots = connected_components(stash(links(points, bound, tile, second), "links"))
+    if similarity is not None:
+        group = points.join(roots, points.point == roots.node).select("root", "point", "fp", "fp2", F.col("one.id").alias("one_id"), F.col("one.tag").alias("one_tag"))
+        group = stash(group, "groups")
+        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+        texts = texts.join(group, F.col("id").eqNullSafe(F.col("one_id")) & (F.xxhash64("text") == F.col("one_tag")))
+        once = texts.groupBy("point").agg(*(F.first(c).alias(c) for c in ("root", "fp", "fp2", "text")))  # rows may repeat
+        roots = connected_components(stash(similar_links(once, words or shingle, similarity, bound, second), "alike"))
     linked = stash(points.join(roots, points.point == roots.node).select("point", "first", "root"), "linked")
     least = stash(linked.groupBy("root").agg(F.min("first").alias("component")), "least")
     named = linked.join(least, "root").select("point", "component", "root")
