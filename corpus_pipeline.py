@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from deltaloom.llm import bpe, decontaminate, secrets, simhash, toxicity
 from deltaloom.llm.common import new_path, scratch, table
 
-#: Bits in which the two fingerprints of near copies may differ.
-NEAR = (11, 14)
+#: Bits in which the two fingerprints of candidates may differ.
+NEAR = (11, 16)
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -32,10 +32,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each component; of rows that repeat it, one. Near copies are texts with a
-    similarity (Jaccard, 5-word shingles) of 0.8 or more, read off two fingerprints: those of 3-word shingles,
-    which are probed, may differ in NEAR[0] bits, those of 5-word shingles in NEAR[1]. At 0.8 the latter
-    differ in 9.7 bits on average, with a deviation of 2.9."""
-    return simhash.representatives(docs.select(*COLUMNS), bound=NEAR[0], check=(5, NEAR[1]))
+    similarity (Jaccard, 5-word shingles) of 0.8 or more; candidates are texts whose fingerprints of 3-word
+    shingles, which are probed, differ in at most NEAR[0] bits, and those of 5-word shingles in NEAR[1]."""
+    return simhash.representatives(docs.select(*COLUMNS), bound=NEAR[0], check=(5, NEAR[1]), similarity=0.8)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
