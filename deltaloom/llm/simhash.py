@@ -21,8 +21,7 @@ acos(2s / (1 + s)) / pi of its bits differ between texts of which a share s of t
 With a similarity, fingerprints only find candidates. The groups they link are taken apart again by the exact
 similarity (Jaccard) of the texts' shingle sets: two texts are linked if their fingerprints are within the bounds
 and a share of at least `similarity` of their shingles is common. One text stands for each fingerprint, so copies
-cost nothing here either; groups of more than `tile` texts are dealt in blocks, a pair of blocks to a task, and
-texts that a task has already joined are not compared again.
+cost nothing here either; larger groups are dealt in blocks, a pair of blocks to a task, and texts that a task has already joined are not compared again.
 
 Defined results: null or wordless texts have fingerprint 0 and link like any other; texts of fewer words
 than a shingle are one shingle; repeated rows stay rows; null ids stay null and never name a component that
@@ -324,16 +323,18 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(b" ".join(t), 42) for t in runs]), np.int64))
 
 
-def similar_links(texts: DataFrame, words: int, similarity: float, bound: int, check: int, tile: int = 1024) -> DataFrame:
+def similar_links(texts: DataFrame, words: int, similarity: float, bound: int, check: int, tile: int = 64) -> DataFrame:
     """(u, v) between the points of each group whose texts are alike: texts has (root, point, fp, fp2, text), a
-    row per point, root naming the group."""
+    row per point, root naming the group. A group is dealt in blocks of `tile` texts, of more where that would
+    be over 64 blocks, but never of more than 256 times as many: a text stands in as many rows as there are
+    blocks."""
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = pa.array([shingle_set(t, words) for t in batch.column(4).to_pylist()], pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), sets], ["root", "point", "fp", "fp2", "shingles"])
 
     cut_up = stash(map_rows(texts.select("root", "point", "fp", "fp2", "text"), cut, "root long, point long, fp long, fp2 long, shingles array<long>", 256), "shingles")
-    blocks = F.ceil(F.col("n") / tile).cast("int")
+    blocks = F.greatest(F.least(F.ceil(F.col("n") / tile), F.lit(64)), F.ceil(F.col("n") / (256 * tile))).cast("int")
     sizes = cut_up.groupBy("root").agg(F.count("*").alias("n"))
     rows = cut_up.join(sizes, "root").where("n > 1").withColumn("own", F.pmod(F.xxhash64("point"), blocks).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))

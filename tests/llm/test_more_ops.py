@@ -544,7 +544,7 @@ def test_groups_are_those_of_exact_similarity(spark, monkeypatch):
     rows += [(9000, ""), (9001, None), (9002, "one two"), (9003, "One  two"), (9004, "one three")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"root": F.lit(1), "n": F.lit(2), "own": F.lit(3)})
     least = least_of_near(docs.collect())
-    for tile in (1024, 4):
+    for tile in (64, 4):
         monkeypatch.setattr(simhash.similar_links, "__defaults__", (tile,))
         got = {r["id"]: r["component"] for r in simhash.near_duplicates(docs, bound=11, check=(5, 16), similarity=0.8).collect()}
         assert got == least
