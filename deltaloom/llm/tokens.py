@@ -19,8 +19,10 @@ to each other, in the order of their texts' hashes, then of the texts; null ids
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
+import string
 import struct
 import uuid
 import zlib
@@ -29,6 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import regex
 import zstandard
@@ -43,6 +46,8 @@ MAGIC = b"WMTX0002"
 #: Bits per block of the rank directory, and blocks per frame of a plane that is compressed by itself.
 BLOCK = 4096
 FRAME = 128
+#: Elements that are parted by their bits at a time.
+STEP = 1 << 16
 
 
 class Plane:
@@ -72,6 +77,19 @@ class Plane:
         return np.frombuffer(b"".join([f() for f in self.frames]), np.uint8)
 
 
+def parting(bits: np.ndarray, zeros: int) -> Iterator[tuple[slice, np.ndarray, slice]]:
+    """How elements move when those of zero bits go first: of the zeros and of the ones of every STEP elements,
+    the STEP they are from, their places in it, and where they stand then. Places of few elements stay in the
+    processor's cache, and go faster than masks."""
+    ends = [0, zeros]
+    for at in range(0, len(bits), STEP):
+        part = bits[at : at + STEP]
+        for bit, chosen in (0, ~part), (1, part):
+            places, begin = np.flatnonzero(chosen), ends[bit]
+            ends[bit] += len(places)
+            yield slice(at, at + STEP), places, slice(begin, ends[bit])
+
+
 class WaveletMatrix:
     """Bit planes of a sequence of ids below 2**levels. zeros: how many each plane has."""
 
@@ -84,8 +102,12 @@ class WaveletMatrix:
         for level in range(levels - 1, -1, -1):
             chosen = (now & now.dtype.type(1 << level)) != 0
             planes.append(Plane.of(np.packbits(chosen)))
-            now = np.concatenate([now[~chosen], now[chosen]])
             zeros.append(len(ids) - int(planes[-1].ranks[-1]))
+            if level:
+                parted = np.empty_like(now)
+                for step, places, then in parting(chosen, zeros[-1]):
+                    now[step].take(places, out=parted[then], mode="clip")
+                now = parted
         return cls(planes, len(ids), zeros)
 
     def _bit(self, level: int, at: int) -> int:
@@ -148,10 +170,11 @@ class WaveletMatrix:
         """Every id in order: the parting of each level is undone from the last one up."""
         out = np.zeros(self.n, np.uint32 if self.levels > 16 else np.uint16)
         for level in range(self.levels - 1, -1, -1):
-            bit = np.unpackbits(self.planes[level].whole(), count=self.n).astype(bool)
+            bit = np.unpackbits(self.planes[level].whole(), count=self.n).view(bool)
+            out[self.zeros[level] :] |= out.dtype.type(1 << (self.levels - 1 - level))
             up = np.empty_like(out)
-            up[~bit] = out[: self.zeros[level]]
-            up[bit] = out[self.zeros[level] :] | out.dtype.type(1 << (self.levels - 1 - level))
+            for step, places, then in parting(bit, self.zeros[level]):
+                up[step][places] = out[then]
             out = up
         return out
 
@@ -236,33 +259,41 @@ def read_file(path: str) -> bytes:
         return f.read()
 
 
-#: Where these are in a text, white space stands before a space, or may: such texts are cut by WORDS alone.
-RUNS = ("  ", "\n ", "\t ", "\r ", "\v ", "\f ")
 WIDE_SPACES = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Where this is in a text, white space stands before a space: such texts are cut by WORDS alone.
+RUNS = f"[\t-\r {WIDE_SPACES}] "
 #: The split pattern of byte-level vocabularies, which public_tokenizers.PATTERN states too.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-
-
-class Memory(dict):
-    """Keeps what it was asked first, up to a number of keys; what it does not have is made anew each time."""
-
-    def __init__(self, make: Callable[[str], bytes], most: int):
-        super().__init__()
-        self.make, self.most = make, most
-
-    def __missing__(self, key: str) -> bytes:
-        out = self.make(key)
-        if len(self) < self.most:
-            self[key] = out
-        return out
+#: Bytes of text that are cut and looked up together, which bounds what a worker holds for it.
+TOGETHER = 16 << 20
+
+
+def cut(piece: str) -> list[str]:
+    """WORDS.findall of a space and a piece without spaces, by its lines, which mostly are letters and then marks."""
+    lines = piece.split("\n")
+    out, space = [], " "
+    for line in lines:
+        letters = line.rstrip(string.punctuation)
+        if letters.isalpha():
+            out.append(space + letters)
+            if len(letters) < len(line):
+                out.append(line[len(letters) :])
+        elif line and not line[0].isspace() and not line[-1].isspace():
+            out += WORDS.findall(space + line)
+        else:  # white space beside white space
+            return WORDS.findall(" " + piece)
+        out.append("\n")
+        space = ""
+    return out[:-1]
 
 
 class LibraryEncoder:
     """The tokenizers library with memories of pieces of text, which go to the library's model when they are
-    new; what a piece encodes to depends on nothing around it. Pieces are remembered without the space before
-    them, which all but a text's first have."""
+    new; what a piece encodes to depends on nothing around it. Texts are cut at spaces many at a time, and
+    each different piece of them is looked up once. Words of letters are remembered without the space before
+    them, which most have. Memories keep what they were asked first, up to a number of words."""
 
-    def __init__(self, path: str, remembered: int = 1_000_000):
+    def __init__(self, path: str, remembered: int = 500_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -273,43 +304,112 @@ class LibraryEncoder:
         pre = spec.get("pre_tokenizer") or {}
         self.apart = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer")
         self.specials = [t["content"] for t in spec["added_tokens"]]
-        self.spaced = Memory(self._spaced, remembered)  # piece -> ids of a space and the piece
-        self.words = Memory(self._word, remembered // 4)
-        self.byte_chars = byte_characters()
+        self.most = remembered
+        self.spaced = {"": b""}  # letters -> ids of a space and the letters
+        self.words: dict[str, bytes] = {}  # any other word of WORDS -> its ids
+        chars = byte_characters()
+        self.byte_chars = np.array([ord(c) for c in chars], "<u2")
+        self.byte_chars[0xFF] = ord("\n")  # no byte of UTF-8: parts the words
 
     def _library(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        """One word of WORDS by the library's model, in the characters that stand for its bytes."""
-        if word.isascii() and word.isprintable():
-            word = word.replace(" ", "\u0120")
-        else:
-            word = "".join([self.byte_chars[b] for b in word.encode("utf-8", "surrogatepass")])
-        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
-
-    def _spaced(self, piece: str) -> bytes:
-        return self._word(" " + piece) if piece.isalpha() else self._pieces(" " + piece)
+    def _model(self, words: list[str]) -> list[bytes]:
+        """Words of WORDS by the library's model, in the characters that stand for their bytes."""
+        packed = np.frombuffer(b"\xff".join([w.encode("utf-8", "surrogatepass") for w in words]), np.uint8)
+        tokenize = self.model.tokenize
+        return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in self.byte_chars[packed].tobytes().decode("utf-16-le").split("\n")]
+
+    def _known(self, memory: dict[str, bytes], keys: list[str], make: Callable[[list[str]], list[bytes]], most: int) -> list[bytes]:
+        """What a memory has for the keys; what it does not have is made, each key once."""
+        out = list(map(memory.get, keys))
+        if at := [i for i, v in enumerate(out) if v is None]:
+            new = list(dict.fromkeys([keys[i] for i in at]))
+            made = dict(zip(new, make(new), strict=True))
+            for i in at:
+                out[i] = made[keys[i]]
+            memory.update(itertools.islice(made.items(), max(0, most - len(memory))))
+        return out
 
-    def _pieces(self, text: str) -> bytes:
-        return b"".join([self.spaced[w[1:]] if w[0] == " " and w[1:].isalpha() else self.words[w] for w in WORDS.findall(text)])
+    def _letters(self, pieces: list[str]) -> list[bytes]:
+        return self._known(self.spaced, pieces, lambda new: self._model([" " + p for p in new]), self.most)
+
+    def _others(self, words: list[str]) -> list[bytes]:
+        return self._known(self.words, words, self._model, self.most // 2)
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of words of WORDS."""
+        spaced = [w[0] == " " and w[1:].isalpha() for w in words]
+        letters = iter(self._letters([w[1:] for w, s in zip(words, spaced, strict=True) if s]))
+        others = iter(self._others([w for w, s in zip(words, spaced, strict=True) if not s]))
+        return [next(letters if s else others) for s in spaced]
+
+    def _texts(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts that are cut by WORDS."""
+        found = [WORDS.findall(t) for t in texts]
+        ids = iter(self._words([w for ws in found for w in ws]))
+        return [b"".join(itertools.islice(ids, len(ws))) for ws in found]
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of a space and each piece, which has no space within."""
+        heads, at, more = list(pieces), [], []
+        for i in [i for i, letters in enumerate(map(str.isalpha, pieces)) if not letters]:
+            letters = pieces[i].rstrip(string.punctuation)
+            if letters.isalpha():
+                words = [pieces[i][len(letters) :]]
+            else:
+                words = cut(pieces[i])
+                letters = words.pop(0)[1:] if words[0][0] == " " and words[0][1:].isalpha() else ""
+            heads[i] = letters
+            at += [i] * len(words)
+            more += words
+        out = self._letters(heads)
+        for i, ids in zip(at, self._others(more), strict=True):
+            out[i] += ids
+        return out
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        if not self.apart or any(s in text for s in self.specials):
-            return self._library(text)
-        if any(p in text for p in RUNS) or not text.isascii() and any(c in text for c in WIDE_SPACES):
-            return self._pieces(text)  # white space before a space: cutting at spaces would not be the same
-        first, *rest = text.split(" ")
-        return self._pieces(first) + b"".join(map(self.spaced.__getitem__, rest))
+    def encode(self, texts: pa.Array) -> list[bytes | memoryview]:
+        """The ids of every text as little-endian unsigned 32-bit integers."""
+        texts = texts.fill_null("")
+        if not self.apart:
+            return [self._library(t) for t in texts.to_pylist()]
+        special = functools.reduce(pc.or_, [pc.match_substring(texts, s) for s in self.specials], pa.repeat(False, len(texts)))
+        runs = pc.and_not(pc.match_substring_regex(texts, RUNS), special)
+        plain = pc.invert(pc.or_(special, runs))
+        # White space before a space: cutting at spaces would not be the same.
+        own = {0: iter(self._cut(texts.filter(plain))), 1: iter(self._texts(texts.filter(runs).to_pylist())), 2: map(self._library, texts.filter(special).to_pylist())}
+        return [next(own[2 if s else 1 if r else 0]) for s, r in zip(special.to_pylist(), runs.to_pylist(), strict=True)]
+
+    def _cut(self, texts: pa.Array) -> list[memoryview]:
+        """The ids of texts that may be cut at spaces."""
+        lists = pc.split_pattern(texts, " ")
+        bounds = np.cumsum([0, *pc.list_value_length(lists).to_pylist()])
+        coded = lists.flatten().dictionary_encode()
+        code, values = coded.indices.to_numpy().copy(), self._pieces(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        code[bounds[:-1]] = np.arange(len(values), len(values) + len(texts))  # no space before a text's first piece
+        values += self._texts(pc.list_element(lists, 0).to_pylist()) if len(texts) else []
+        whole = pa.array(values, pa.large_binary()).take(pa.array(code))
+        _, ends, data = whole.buffers()
+        if not data:
+            return [memoryview(b"")] * len(texts)
+        at, view = np.frombuffer(ends, np.int64)[whole.offset + bounds].tolist(), memoryview(data)
+        return [view[a:b] for a, b in itertools.pairwise(at)]
 
 
 @functools.lru_cache(maxsize=2)
-def library_encoder(path: str, remembered: int = 1_000_000) -> LibraryEncoder:
+def library_encoder(path: str, remembered: int = 500_000) -> LibraryEncoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return LibraryEncoder(path, remembered)
 
 
+def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of (id, text) with less than TOGETHER bytes of text after their first row."""
+    sizes = pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
+    turns = np.cumsum(sizes, dtype=np.int64) // TOGETHER
+    cuts = [0, *(np.flatnonzero(np.diff(turns)) + 1).tolist(), batch.num_rows]
+    return (batch.slice(a, b - a) for a, b in itertools.pairwise(cuts))
+
+
 MANIFEST = "part int, shard int, path string, docs long, tokens long"
 
 
@@ -339,9 +439,9 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int, id_col: s
             return row
 
         encode = library_encoder(path).encode
-        for batch in batches:
-            for d, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held.append(encode(text.as_py() or "") + end)
+        for batch in itertools.chain.from_iterable(map(portions, batches)):
+            for d, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+                held.append(b"".join((ids, end)))
                 doc_ids.append(d)
                 size += len(held[-1]) // 4
                 if size >= shard_tokens:

@@ -3,12 +3,14 @@
 import hashlib
 import re
 import time
+import types
 import zlib
 from collections import Counter
 from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -331,6 +333,29 @@ def test_wavelet_matrix_answers():
     assert empty.count(3) == 0 and empty.find(3, 0) == -1 and len(empty.all()) == 0
 
 
+def test_the_model_sees_each_word_of_a_batch_once():
+    """However little is remembered; what comes out is the library's."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, library = tokens.LibraryEncoder(path, remembered=2), Tokenizer.from_file(path)
+    texts = ["Foo foo, foo.$$ bar\nfoo, bar", "foo bar bar. it's ''s 12 12", None, "", " foo\n\nbar  bar\n bar\u3000 foo ", "foo<|endoftext|> bar", "\u00e9t\u00e9 \u00e9t\u00e9, x\x1cy\r\nfoo\n"] * 50
+    asked, model = [], own.model
+    own.model = types.SimpleNamespace(tokenize=lambda w: asked.append(w) or model.tokenize(w))
+    got = [bytes(x) for x in own.encode(pa.array(texts))]
+    assert got == [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert max(Counter(asked).values()) <= 3  # texts cut at spaces, their first words, texts cut by words
+    assert own.encode(pa.array([], pa.string())) == []
+
+
+def test_portions_keep_every_row(monkeypatch):
+    monkeypatch.setattr(tokens, "TOGETHER", 10)
+    texts = ["abc", None, "x" * 35, "", "defg", "hij", "k" * 10, "l"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], ["id", "text"])
+    parts = list(tokens.portions(batch))
+    assert [t for p in parts for t in p.column(1).to_pylist()] == texts and len(parts) > 3
+    assert all(sum(len(t or "") for t in p.column(1).to_pylist()[1:]) < 10 for p in parts)
+    assert [p.num_rows for p in tokens.portions(batch.slice(0, 0))] == [0]
+
+
 def test_a_question_reads_only_what_it_touches():
     ids = np.random.default_rng(8).integers(0, 50_000, 3_000_000).astype(np.uint16)
     data = tokens.pack(ids, [1], np.array([0]), 16)
