@@ -390,3 +390,28 @@ def test_subscriptions_and_stream(spark, tmp_path):
         r.call("join", n)
     with pytest.raises(LimitExceeded):
         r.subscribe(["SELECT * FROM players WHERE team = 1"], "late", "s9", Caller(allow_all=True))
+
+
+@pytest.mark.parametrize(("rows", "width"), [(100_001, 1), (70, 1 << 20)])
+def test_first_rows_of_a_large_view_are_whole(spark, tmp_path, rows, width):
+    store = Store(spark, str(tmp_path), Catalog.of(PAIRS))
+    tx = store.begin()
+    tx.insert_many("pairs", spark.range(rows).selectExpr("cast(id as int) a", f"repeat('x', {width}) b"))
+    tx.commit()
+    plan = Analyzer(store.catalog, None, "declared_view").plan("SELECT * FROM pairs")
+    first = Views(store).subscribe("me", "s", [plan])[plan.key()]
+    assert list(first.agg(F.count("*"), F.sum("_n"), F.min("a"), F.max("a"), F.count_distinct("a"), F.min(F.length("b"))).first()) == [rows, rows, 0, rows - 1, rows, width]
+    for limits in (Limits(rows=rows - 1), Limits(bytes=rows * width)):  # those that a host sets
+        with pytest.raises(LimitExceeded, match="snapshot"):
+            Views(store, limits).subscribe("you", "s", [plan])
+
+
+def test_a_sum_that_overflows_is_refused_at_once(spark, tmp_path):
+    store = Store(spark, str(tmp_path), Catalog.of(TableDef("wide", columns(id="Uint64 primary", x="Int64"), policy="public")))
+    tx = store.begin()
+    tx.insert_many("wide", spark.range(1, 4).selectExpr("id", "shiftleft(1L, 62) x"))
+    tx.commit()
+    views = Views(store)
+    with pytest.raises(Exception, match="overflowed Int64"):
+        views.subscribe("me", "s", [Analyzer(store.catalog, None, "declared_view").plan("SELECT SUM(x) AS s FROM wide")])
+    assert not views.views
