@@ -415,3 +415,18 @@ def test_a_sum_that_overflows_is_refused_at_once(spark, tmp_path):
     with pytest.raises(Exception, match="overflowed Int64"):
         views.subscribe("me", "s", [Analyzer(store.catalog, None, "declared_view").plan("SELECT SUM(x) AS s FROM wide")])
     assert not views.views
+
+
+def test_first_rows_of_a_runtime_are_whole_and_answers_stay_limited(spark, tmp_path):
+    m = Module(Catalog.of(PAIRS))
+    m.read("from", "SELECT a, b FROM pairs WHERE a >= :least", (Parameter("least", KINDS["Int32"]),), live=True)
+    r = Runtime(spark, str(tmp_path), m)
+    tx = r.store.begin()
+    tx.insert_many("pairs", spark.range(100_003).selectExpr("cast(id as int) a", "'x' b"))
+    tx.commit()
+    everyone = Caller(allow_all=True)
+    for first in (r.subscribe_view("from", "me", "s1", everyone, least=2), *r.subscribe(["SELECT * FROM pairs WHERE a >= 2"], "me", "s2", everyone).values()):
+        assert list(first.agg(F.count("*"), F.sum("_n"), F.min("a"), F.max("a"), F.count_distinct("a")).first()) == [100_001, 100_001, 2, 100_002, 100_001]
+    with pytest.raises(LimitExceeded, match="100000 rows"):
+        r.answer("SELECT * FROM pairs WHERE a >= 2")
+    assert len(r.answer("SELECT * FROM pairs WHERE a >= 3")) == 100_000
